@@ -37,7 +37,6 @@ def flag_rows(df: DataFrame, mapping: Mapping[str, str | None] | None = None, *,
     number = parse_number(F.col("rating"))
     rows = rows.select(
         "*",
-        ~nonblank(F.col("review_text")).alias("_blank"),
         date.alias("_date"),
         F.when(in_rating_range(number), number).alias("_rating"),
     )
@@ -47,7 +46,8 @@ def flag_rows(df: DataFrame, mapping: Mapping[str, str | None] | None = None, *,
         clean_text(F.col("review_text"), normalise).alias("clean_text"),
         F.col("_date").alias("date"),
         F.col("_rating").alias("rating"),
-        "platform", "app_version", "country", "device", "user_segment", ROW, COPIES, "_blank",
+        "platform", "app_version", "country", "device", "user_segment", ROW, COPIES,
+        (~nonblank(F.col("review_text"))).alias("_blank"),
         (~nonblank(F.col("review_id"))).alias("_generated_id"),
         (nonblank(F.col("date")) & F.col("_date").isNull()).alias("_bad_date"),
         (nonblank(F.col("rating")) & F.col("_rating").isNull()).alias("_bad_rating"),

@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 _ONE = "_one"
 
 
+def computed_once(df: DataFrame, keep: Sequence[str], outputs: Sequence[Column]) -> DataFrame:
+    """``keep`` columns plus the outputs, each evaluated once per row.
+
+    Spark copies an expression into every filter or Python UDF input above it; for a long chain the copies multiply
+    and planning takes minutes. A one-row ``inline`` ends that: filters on ``keep`` columns still move below it,
+    filters on the outputs stay above.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*outputs))))
+
+
 def window(by: Sequence[str], *order: Column) -> WindowSpec:
     """Window per group. Without ``by`` it spans the frame, so use it on aggregated frames only."""
     spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))

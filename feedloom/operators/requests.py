@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.search import find_terms, literal_table
 from feedloom.functions.text import request_text
+from feedloom.operators.grouping import computed_once
 from feedloom.vocab import requests as vocab
 from feedloom.vocab.requests import RequestRules
 
@@ -144,14 +145,13 @@ def add_feature_request_columns(df: DataFrame, rules: RequestRules | None = None
         lambda e: F.struct(e["position"].alias("position"), e["term"].alias("term")),
     ))
     terms = F.array_join(F.array_distinct(F.transform(own, lambda e: e["term"])), ", ")
-    return staged.select(
-        *base,
+    return computed_once(staged, base, [
         detected.alias("is_feature_request"),
         detected.alias("feature_request_detected"),
         F.when(scored, group).when(fallback, vocab.OTHER_TEXT).alias("feature_request_text"),
         F.when(scored, step).when(fallback, vocab.FALLBACK_CONFIDENCE).otherwise(0.0).alias("feature_request_confidence"),
         F.when(scored, group).when(fallback, vocab.OTHER_GROUP).alias("feature_request_group"),
-        "feature_request_method",
+        F.col("feature_request_method"),
         F.when(scored, terms).alias("feature_request_matched_terms"),
         F.when(scored, best["score"].cast("double")).otherwise(0.0).alias("feature_request_score"),
-    )
+    ])

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from feedloom.functions.numbers import clamp, in_rating_range
 from feedloom.functions.text import nonblank, trim_ws
-from feedloom.operators.grouping import optional
+from feedloom.operators.grouping import computed_once, optional
 from feedloom.vocab import lexicon as shifts
 from feedloom.vocab.lexicon import Lexicon
 
@@ -125,10 +125,10 @@ def add_sentiment_columns(df: DataFrame, lexicon: Lexicon | None = None) -> Data
     staged = staged.withColumn("sentiment_score", clamp(score, -1.0, 1.0)).withColumn("sentiment_method", method)
     result = F.col("sentiment_score")
     label = F.when(result >= LABEL_AT, "Positive").when(result <= -LABEL_AT, "Negative").otherwise("Neutral")
-    return staged.select(
-        *[c for c in df.columns if c not in (*OUTPUT, POLARITY)],
+    keep = [c for c in df.columns if c not in (*OUTPUT, POLARITY)]
+    return computed_once(staged, keep, [
         label.alias("sentiment"),
         result,
         clamp(F.when(result < 0, -result).otherwise(0.0), 0.0, 1.0).alias("negativity_score"),
-        "sentiment_method",
-    )
+        F.col("sentiment_method"),
+    ])

@@ -7,6 +7,8 @@ batches, with plain expressions above.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from feedloom.operators.requests import add_feature_request_columns, add_request_signals
@@ -15,20 +17,26 @@ from feedloom.operators.themes import add_classification_columns, add_theme_sign
 from feedloom.vocab import Lexicon, RequestRules, ThemeRules
 
 
-def add_text_signals(df: DataFrame, lexicon: Lexicon, requests: RequestRules, themes: ThemeRules, *,
-                     normalise: bool = True) -> DataFrame:
-    """Add the polarity, request and theme signals of ``clean_text``."""
-    signalled = add_request_signals(df, requests, normalise=normalise)
-    return add_theme_signals(add_polarity_signal(signalled, lexicon), themes)
+STAGES = ("sentiment", "requests", "themes")
 
 
-def enrich(df: DataFrame, *, lexicon: Lexicon | None = None, requests: RequestRules | None = None,
-           themes: ThemeRules | None = None, normalise: bool = True) -> DataFrame:
+def enrich(df: DataFrame, stages: Sequence[str] = STAGES, *, lexicon: Lexicon | None = None,
+           requests: RequestRules | None = None, themes: ThemeRules | None = None, normalise: bool = True) -> DataFrame:
     """Sentiment, then feature requests, then themes, over one set of signals. Map-only.
 
-    Columns nobody reads are pruned together with their searches.
+    Name fewer ``stages`` where not all columns are needed. Themes use sentiment for their last fallback and take over
+    request groups, so they want the other two.
     """
     lexicon, requests, themes = lexicon or Lexicon.default(), requests or RequestRules.default(), themes or ThemeRules.default()
-    out = add_text_signals(df, lexicon, requests, themes, normalise=normalise)
-    out = add_feature_request_columns(add_sentiment_columns(out), requests)
-    return add_classification_columns(out, themes)
+    out = df
+    if "sentiment" in stages:
+        out = add_polarity_signal(out, lexicon)
+    if "requests" in stages:
+        out = add_request_signals(out, requests, normalise=normalise)
+    if "themes" in stages:
+        out = add_theme_signals(out, themes)
+    if "sentiment" in stages:
+        out = add_sentiment_columns(out)
+    if "requests" in stages:
+        out = add_feature_request_columns(out, requests)
+    return add_classification_columns(out, themes) if "themes" in stages else out

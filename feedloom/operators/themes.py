@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.search import find_terms, literal_table
 from feedloom.functions.text import WORD, nonblank, rule_text
+from feedloom.operators.grouping import computed_once
 from feedloom.vocab.themes import FEATURE_REQUEST, OTHER, POSITIVE_FEEDBACK, ThemeRules
 
 OUTPUT = ("primary_theme", "secondary_theme", "subtheme", "classification_confidence", "classification_method")
@@ -104,7 +105,7 @@ def match_rules(df: DataFrame, rules: ThemeRules, name: str = "_match") -> DataF
         (top["phrases"] > 0).alias("by_phrase"),
         other["theme"].alias("secondary"),
     ))
-    return staged.withColumn(name, match).drop("_entries", "_scored", "_top")
+    return computed_once(staged, df.columns, [match.alias(name)])
 
 
 def ngram_weights(rules: ThemeRules) -> tuple[list[tuple[str, ...]], list[float], list[list[tuple[int, float]]]]:
@@ -166,7 +167,7 @@ def closest_rule(df: DataFrame, rules: ThemeRules, name: str = "_closest") -> Da
         F.get(subthemes, -F.col("_best")["rank"]).alias("subtheme"),
         F.col("_best")["similarity"].alias("similarity"),
     ))
-    return staged.withColumn(name, closest).drop("_weights", "_products", "_length", "_best")
+    return computed_once(staged, df.columns, [closest.alias(name)])
 
 
 def add_classification_columns(df: DataFrame, rules: ThemeRules | None = None) -> DataFrame:
@@ -209,8 +210,7 @@ def add_classification_columns(df: DataFrame, rules: ThemeRules | None = None) -
     none = F.lit(None).cast("string")
     rule_method = F.when(match["by_phrase"], "rule_exact_phrase").otherwise("rule_keyword")
     rule_confidence = F.least(F.lit(CONFIDENCE_LIMIT), F.lit(BASE_CONFIDENCE) + match["score"] * CONFIDENCE_PER_POINT)
-    return staged.select(
-        *base,
+    return computed_once(staged, base, [
         pick(F.lit(FEATURE_REQUEST), F.lit(OTHER), match["theme"], near["theme"], F.lit(POSITIVE_FEEDBACK), F.lit(OTHER))
         .alias("primary_theme"),
         pick(none, none, match["secondary"], none, none, none).alias("secondary_theme"),
@@ -221,4 +221,4 @@ def add_classification_columns(df: DataFrame, rules: ThemeRules | None = None) -
         .alias("classification_confidence"),
         pick(F.lit("rule_exact_phrase"), F.lit("fallback_other"), rule_method, F.lit("tfidf_similarity"),
              F.lit("fallback_positive"), F.lit("fallback_other")).alias("classification_method"),
-    )
+    ])
