@@ -18,6 +18,7 @@ from feedloom.operators.filters import apply_filters, date_bounds, filter_option
 from feedloom.operators.signals import STAGES, enrich
 from feedloom.operators.themes import add_theme_signals, match_rules
 from feedloom.plans.ingest import ingest
+from feedloom.session import materialize
 from feedloom.vocab import ThemeRules
 from feedloom.vocab.themes import CRITICAL_TERMS, RISK_SCORE, THEME_RISK
 
@@ -26,6 +27,11 @@ def analyzed(spark: SparkSession, sf_dir: str, *stages: str) -> DataFrame:
     return enrich(feedback(spark, sf_dir), stages or STAGES, normalise=False)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysed rows written once, for queries that read them several times."""
+    return materialize(analyzed(spark, sf_dir))
+
+
 def _volume(spark, sf_dir):
     return trends.day_theme_volume(analyzed(spark, sf_dir))
 
@@ -294,18 +300,18 @@ NOT_PAIN = "('Positive Feedback', 'Feature Request', 'Other')"
 @query("theme_aggregate", SUMMARY_CTES, """SELECT theme, frequency, average_rating, negative_percentage, average_sentiment_score, average_confidence, share_percentage FROM theme_agg""",
        "average_rating|negative_percentage|average_sentiment_score|average_confidence|share_percentage")
 def theme_aggregate(spark, sf_dir):
-    cube = metrics.theme_subtheme_cube(analyzed(spark, sf_dir))
+    cube = metrics.feedback_cube(analyzed(spark, sf_dir))
     return metrics.theme_aggregate(cube).drop("critical_count", "negative_count", "total_rows")
 
 
 @query("dominant_subtheme", SUMMARY_CTES, "SELECT theme, subtheme FROM dominant")
 def _(spark, sf_dir):
-    return metrics.dominant_subtheme(metrics.theme_subtheme_cube(analyzed(spark, sf_dir)))
+    return metrics.dominant_subtheme(metrics.feedback_cube(analyzed(spark, sf_dir)))
 
 
 @query("critical_terms", SUMMARY_CTES, "SELECT theme, critical_count, least(100.0, 100.0 * critical_count / frequency) AS critical_component FROM theme_agg", "critical_component")
 def _(spark, sf_dir):
-    themes = metrics.theme_aggregate(metrics.theme_subtheme_cube(analyzed(spark, sf_dir)))
+    themes = metrics.theme_aggregate(metrics.feedback_cube(analyzed(spark, sf_dir)))
     return themes.select("theme", "critical_count", F.least(F.lit(100.0), F.col("critical_count") * 100.0 / F.col("frequency")).alias("critical_component"))
 
 
@@ -333,9 +339,8 @@ def _(spark, sf_dir):
   (SELECT theme FROM theme_trend WHERE theme NOT IN {NOT_PAIN} ORDER BY trend_score DESC, recent_count DESC, theme LIMIT 1) AS fastest_growing_pain_point FROM analyzed""",
   "average_rating|positive_feedback_percentage|neutral_feedback_percentage|negative_feedback_percentage")
 def _(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
-    cube, growth = metrics.theme_subtheme_cube(rows), trends.theme_trends(trends.day_theme_volume(rows))
-    return metrics.overall_metrics(rows, metrics.theme_aggregate(cube), growth)
+    rows = stored(spark, sf_dir)
+    return metrics.overall_metrics(rows, metrics.summarize_themes(rows))
 
 
 REQUEST_SUMMARY_SQL = """SELECT feature_request_group, count(*) AS mentions, avg(rating) AS average_rating, avg(feature_request_confidence) AS request_confidence,
@@ -352,7 +357,7 @@ def _(spark, sf_dir):
   (SELECT feature_request_group FROM rs ORDER BY round(request_confidence, 9) DESC, mentions DESC, feature_request_group LIMIT 1) AS highest_confidence
   FROM (SELECT * FROM summary WHERE theme NOT IN {NOT_PAIN} ORDER BY frequency DESC, priority_score DESC LIMIT 1) p""")
 def _(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     requests = metrics.request_summary(rows).withColumn("request_confidence", F.round("request_confidence", 9))
     pain = metrics.top_pain_point(metrics.summarize_themes(rows))
     from feedloom.operators.grouping import attach
@@ -557,13 +562,13 @@ MATRIX_CTES = ANALYZED_CTES + """, watched(theme, platform) AS (SELECT * FROM (V
 mat AS (SELECT w.theme, w.platform, a.app_version AS version, count(*) AS rows, count(*) FILTER (a.primary_theme = w.theme) AS theme_rows
   FROM analyzed a JOIN watched w ON w.platform IS NULL OR a.platform = w.platform WHERE trim(a.app_version) <> '' GROUP BY ALL),
 ordered AS (SELECT *, theme_rows / rows AS share, lag(theme_rows / rows) OVER o AS before, lead(theme_rows / rows) OVER o AS after FROM mat
-  WINDOW o AS (PARTITION BY theme, platform ORDER BY list_transform(string_split(version, '.'), x -> CAST(x AS INT)), version)),
+  WINDOW o AS (PARTITION BY theme, platform ORDER BY CAST(string_split(version, '.') AS INT[]), version)),
 based AS (SELECT *, share - (coalesce(before, after) + coalesce(after, before)) / 2 AS change FROM ordered)"""
 
 
 @query("release_matrix", MATRIX_CTES, "SELECT theme, platform, version, rows, CAST(theme_rows AS BIGINT) AS theme_rows, theme_rows / rows AS share FROM mat", "share")
 def _(spark, sf_dir):
-    return rel.release_matrix(analyzed(spark, sf_dir))
+    return rel.release_matrix(analyzed(spark, sf_dir)).withColumnsRenamed({"watched_theme": "theme", "watched_platform": "platform"})
 
 
 @query("release_stories", MATRIX_CTES, """SELECT 'Observed ' || theme || ' ' || CASE WHEN change > 0 THEN 'increase' ELSE 'decrease' END || ' in version ' || version AS title, version, platform, theme || ' share' AS metric_name,
@@ -571,7 +576,7 @@ def _(spark, sf_dir):
   round_even(change, 4) AS magnitude, (SELECT string_agg(review_id, '|' ORDER BY review_id) FROM (SELECT review_id FROM analyzed a WHERE a.primary_theme = b.theme AND a.app_version = b.version AND (b.platform IS NULL OR a.platform = b.platform) ORDER BY review_id LIMIT 3)) AS ids
   FROM based b WHERE abs(change) >= 0.05 AND theme_rows > 0""", "before_value|during_value|after_value|magnitude")
 def _(spark, sf_dir):
-    stories = rel.release_stories(analyzed(spark, sf_dir))
+    stories = rel.release_stories(stored(spark, sf_dir)).withColumnRenamed("watched_platform", "platform")
     return stories.withColumn("ids", F.array_join("supporting_review_ids", "|")).drop("supporting_review_ids", "evidence_note", "rank")
 
 
@@ -621,7 +626,7 @@ def _(spark, sf_dir):
   CASE WHEN rank = 4 THEN 'Other' ELSE primary_theme END AS primary_theme FROM ({QUOTES_SQL})) q ANTI JOIN analyzed a ON a.review_id = q.review_id AND a.original_text = q.original_text AND a.primary_theme = q.primary_theme""")
 def _(spark, sf_dir):
     """Quotes with some texts and themes altered: exactly the altered ones are ungrounded."""
-    rows = analyzed(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     altered = quotes.representative_quotes(rows).select(
         "review_id", F.when(F.col("rank") == 5, F.concat("original_text", F.lit("!"))).otherwise(F.col("original_text")).alias("original_text"),
         F.when(F.col("rank") == 4, "Other").otherwise(F.col("primary_theme")).alias("primary_theme"),
@@ -649,7 +654,7 @@ def _(spark, sf_dir):
   (SELECT string_agg(DISTINCT app_version, '|' ORDER BY app_version) FROM analyzed a WHERE a.primary_theme = r.theme) AS versions,
   (SELECT string_agg(review_id, '|' ORDER BY rank) FROM ids i WHERE i.theme = r.theme) AS ids FROM ranked r JOIN summary s USING (theme)""", "share_of_reviews|average_rating|growth_rate")
 def _(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     records = evidence.pain_records(rows, metrics.summarize_themes(rows))
     return records.select(
         "section", "rank", "theme", "review_count", "negative_review_count", "share_of_reviews", "average_rating", "business_risk", "trend_direction", "growth_rate",
@@ -663,7 +668,7 @@ def _(spark, sf_dir):
     string_agg(DISTINCT platform, '|' ORDER BY platform) AS platforms, string_agg(DISTINCT user_segment, '|' ORDER BY user_segment) AS user_segments
   FROM analyzed JOIN g USING (feature_request_group) WHERE is_feature_request GROUP BY 1) ORDER BY rank LIMIT 8""", "share_of_requests|average_confidence|growth_rate")
 def _(spark, sf_dir):
-    found = evidence.request_insights(analyzed(spark, sf_dir, "requests"))
+    found = evidence.request_insights(materialize(analyzed(spark, sf_dir, "requests")))
     return found.select(
         "rank", "group", "request_count", "share_of_requests", "average_confidence", "growth_rate", "trend_direction",
         F.array_join("affected_platforms", "|").alias("platforms"), F.array_join("affected_segments", "|").alias("user_segments"),
@@ -672,7 +677,7 @@ def _(spark, sf_dir):
 
 @query("unique_quote_evidence")
 def _(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
+    rows = stored(spark, sf_dir)
     pain = evidence.pain_rankings(metrics.summarize_themes(rows))
     groups = evidence.quote_groups(pain, evidence.request_insights(rows))
     return quotes.unique_quote_evidence(rows, groups).select("rank", "quote.*")
@@ -684,7 +689,7 @@ STAMP = "2024-02-01T00:00:00+00:00"
 @query("platform_contexts")
 def _(spark, sf_dir):
     """One compact evidence context per platform, all in one job."""
-    rows = analyzed(spark, sf_dir).filter(F.col("platform").isNotNull())
+    rows = stored(spark, sf_dir).filter(F.col("platform").isNotNull())
     return evidence.compact_insight_context(evidence.context_rows(rows, ["platform"], generated_at=STAMP), ["platform"], max_characters=9_000)
 
 
@@ -725,7 +730,7 @@ def _(spark, sf_dir):
   coalesce(x.p, 'Not available') AS "Platforms", coalesce(x.s, 'Not available') AS "User Segments" FROM ({REQUEST_SUMMARY_SQL}) r LEFT JOIN (SELECT feature_request_group, string_agg(DISTINCT platform, ', ' ORDER BY platform) AS p,
   string_agg(DISTINCT user_segment, ', ' ORDER BY user_segment) AS s FROM analyzed WHERE is_feature_request GROUP BY 1) x USING (feature_request_group)""", "Share|Avg. Rating|Confidence")
 def _(spark, sf_dir):
-    rows = analyzed(spark, sf_dir, "requests")
+    rows = materialize(analyzed(spark, sf_dir, "requests"))
     return views.request_view(rows, metrics.request_summary(rows))
 
 

@@ -226,7 +226,8 @@ def context_rows(df: DataFrame, by: Sequence[str] = (), *, raw_rows: int | None
         stories = release_stories(df, watched, by, limit=max_stories).withColumns({
             "period_start": F.lit(None).cast("string"), "period_end": F.lit(None).cast("string"),
         })
-        parts.append(_items(stories, by, F.lit("release_stories"), F.col("rank"), sorted_json(stories, STORY_FIELDS)))
+        story = compact_json(*[F.col("watched_platform").alias(f) if f == "platform" else F.col(f) for f in sorted(STORY_FIELDS)])
+        parts.append(_items(stories, by, F.lit("release_stories"), F.col("rank"), story))
 
     for name, frame in (
         ("dataset", dataset_summary(df, by, raw_rows=raw_rows)),

@@ -25,7 +25,7 @@ def representative_quotes(df: DataFrame, by: Sequence[str] = (), *, limit: int =
     per theme in every partition ahead of its shuffle.
     """
     keys = [*by, "primary_theme", "_text"]
-    fields = [F.col(c) for c in QUOTE_FIELDS if c != "primary_theme" and c in df.columns]
+    fields = [F.col(c) for c in QUOTE_FIELDS if c not in ("primary_theme", *by) and c in df.columns]
     record = F.struct(*fields, "sentiment", "classification_confidence")
     texts = (
         df.filter(F.col("primary_theme").isNotNull() & nonblank(F.col("original_text")))
@@ -41,7 +41,7 @@ def representative_quotes(df: DataFrame, by: Sequence[str] = (), *, limit: int =
         F.asc("review_id"),
     ]
     best = top_per_group(texts, [*by, "primary_theme"], order, min(limit, MAX_QUOTES), "rank")
-    return best.select(*by, *[c for c in QUOTE_FIELDS if c in best.columns], "rank")
+    return best.select(*by, *[c for c in QUOTE_FIELDS if c in best.columns and c not in by], "rank")
 
 
 def quotes_by_theme(quotes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

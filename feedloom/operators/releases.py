@@ -75,7 +75,7 @@ def release_matrix(df: DataFrame, watched: Sequence[tuple[str, str | None]] = WA
     everywhere = F.col("spec.platform").isNull() if "platform" in df.columns else F.lit(True)
     return (
         cube.select("*", specs.alias("spec")).filter(everywhere | (F.col("_platform") == F.col("spec.platform")))
-        .groupBy(*by, F.col("spec.theme").alias("theme"), F.col("spec.platform").alias("platform"), "version")
+        .groupBy(*by, F.col("spec.theme").alias("watched_theme"), F.col("spec.platform").alias("watched_platform"), "version")
         .agg(
             F.sum("rows").alias("rows"),
             F.sum(F.when(F.col("primary_theme") == F.col("spec.theme"), F.col("rows")).otherwise(0)).alias("theme_rows"),
@@ -87,7 +87,7 @@ def release_matrix(df: DataFrame, watched: Sequence[tuple[str, str | None]] = WA
 def release_stories(df: DataFrame, watched: Sequence[tuple[str, str | None]] = WATCHED, by: Sequence[str] = (), *,
                     limit: int = 6) -> DataFrame:
     """Versions whose share of a watched theme stands out from the neighbouring versions, largest change first."""
-    spec = [*by, "theme", "platform"]
+    spec = [*by, "watched_theme", "watched_platform"]
     ordered = Window.partitionBy(*spec).orderBy(version_key(F.col("version")), "version")
     near = release_matrix(df, watched, by).withColumns({
         "before": F.lag("share").over(ordered), "after": F.lead("share").over(ordered),
@@ -99,23 +99,23 @@ def release_stories(df: DataFrame, watched: Sequence[tuple[str, str | None]] = W
     told = near.withColumn("_change", change).filter((F.abs("_change") >= MIN_CHANGE) & (F.col("theme_rows") > 0))
     told = null_safe(told, _supporting_ids(df, watched, by), [*spec, "version"], "inner")
     direction = F.when(F.col("_change") > 0, "increase").otherwise("decrease")
-    where = F.concat(F.coalesce(F.concat("platform", F.lit(" ")), F.lit("")), F.lit("version "), F.col("version"))
+    where = F.concat(F.coalesce(F.concat("watched_platform", F.lit(" ")), F.lit("")), F.lit("version "), F.col("version"))
     stories = told.select(
         *by,
-        F.concat(F.lit("Observed "), "theme", F.lit(" "), direction, F.lit(" in version "), "version").alias("title"),
-        "version", "platform",
-        F.concat("theme", F.lit(" share")).alias("metric_name"),
+        F.concat(F.lit("Observed "), "watched_theme", F.lit(" "), direction, F.lit(" in version "), "version").alias("title"),
+        "version", "watched_platform",
+        F.concat("watched_theme", F.lit(" share")).alias("metric_name"),
         safe_float(F.col("before")).alias("before_value"),
         safe_float(F.col("share")).alias("during_value"),
         safe_float(F.col("after")).alias("after_value"),
         direction.alias("direction"),
         safe_float(F.col("_change")).alias("magnitude"),
         "supporting_review_ids",
-        F.concat(F.lit("Observed "), direction, F.lit(" in "), "theme", F.lit(" feedback for "), where,
+        F.concat(F.lit("Observed "), direction, F.lit(" in "), "watched_theme", F.lit(" feedback for "), where,
                  F.lit(" relative to adjacent versions.")).alias("evidence_note"),
     )
     size = F.desc(F.abs("magnitude"))
-    per_spec = top_per_group(stories, [*by, "metric_name", "platform"], [size, F.asc("version")], limit, "_rank")
+    per_spec = top_per_group(stories, [*by, "metric_name", "watched_platform"], [size, F.asc("version")], limit, "_rank")
     rank = F.row_number().over(window(by, size, F.asc("version"), F.asc("metric_name")))
     return per_spec.drop("_rank").withColumn("rank", rank).filter(F.col("rank") <= limit)
 
@@ -132,7 +132,7 @@ def _supporting_ids(df: DataFrame, watched: Sequence[tuple[str, str | None]], by
     ).filter(
         F.col("version").isNotNull() & (F.col("primary_theme") == F.col("spec.theme"))
         & (everywhere | (F.col("_platform") == F.col("spec.platform")))
-    ).select(*by, F.col("spec.theme").alias("theme"), F.col("spec.platform").alias("platform"), "version", "review_id")
-    keys = [*by, "theme", "platform", "version"]
+    ).select(*by, F.col("spec.theme").alias("watched_theme"), F.col("spec.platform").alias("watched_platform"), "version", "review_id")
+    keys = [*by, "watched_theme", "watched_platform", "version"]
     ranked = top_per_group(rows, keys, [F.asc("review_id")], 3, "rank")
     return ranked.groupBy(*keys).agg(ids_in_rank_order("rank", "review_id").alias("supporting_review_ids"))

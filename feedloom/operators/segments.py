@@ -158,7 +158,7 @@ def theme_segment_matrix(df: DataFrame, segment: str, values: Sequence[str] | No
     known = df.filter(F.col(segment).isNotNull() & F.col("primary_theme").isNotNull())
     grouped = known.groupBy(F.col("primary_theme").alias("theme"))
     pivoted = grouped.pivot(segment, list(values)) if values else grouped.pivot(segment)
-    return pivoted.agg(F.count("*")).na.fill(0)
+    return pivoted.agg(F.count(F.lit(1))).na.fill(0)
 
 
 def counts_by(df: DataFrame, *columns: str, name: str = "feedback") -> DataFrame:

@@ -103,21 +103,24 @@ def rolling_volume(volume: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).filter("_frame = 7").drop("_frame")
 
 
-def theme_trends(volume: DataFrame, by: Sequence[str] = (), *, period_days: int = 14) -> DataFrame:
-    """Recent against previous period per theme; neutral values where fewer than 14 days are covered."""
-    end = F.max("day").over(window(by))
+def window_growth(volume: DataFrame, by: Sequence[str] = (), period_days: int = 14) -> DataFrame:
+    """Mark the days of the recent and the previous period; neither where fewer than 14 days are covered."""
     recent_start = F.date_sub(F.col("_end"), period_days - 1)
     previous_start = F.date_sub(F.col("_end"), 2 * period_days - 1)
-    marked = volume.select("*", end.alias("_end"), coverage_days(by).alias("_coverage")).select(
-        "*",
-        (F.col("day") >= recent_start).alias("_recent"),
-        ((F.col("day") >= previous_start) & (F.col("day") < recent_start)).alias("_previous"),
-    )
     covered = F.col("_coverage") >= MIN_COVERAGE_DAYS
+    marked = volume.select("*", F.max("day").over(window(by)).alias("_end"), coverage_days(by).alias("_coverage"))
+    return marked.withColumns({
+        "_recent": covered & (F.col("day") >= recent_start),
+        "_previous": covered & (F.col("day") >= previous_start) & (F.col("day") < recent_start),
+    })
 
+
+def theme_trends(volume: DataFrame, by: Sequence[str] = (), *, period_days: int = 14) -> DataFrame:
+    """Recent against previous period per theme; neutral values where fewer than 14 days are covered."""
     def counted(flag: str):
-        return F.sum(F.when(covered & F.col(flag), F.col("feedback_count")).otherwise(0))
+        return F.sum(F.when(F.col(flag), F.col("feedback_count")).otherwise(0))
 
+    marked = window_growth(volume, by, period_days)
     counts = marked.filter(F.col("primary_theme").isNotNull()).groupBy(*by, F.col("primary_theme").alias("theme")).agg(
         counted("_recent").alias("recent_count"), counted("_previous").alias("previous_count"),
         F.max("_coverage").alias("coverage_days"),

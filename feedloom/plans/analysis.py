@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from feedloom.operators.metrics import overall_metrics, request_summary, theme_subtheme_cube, theme_summary
+from feedloom.operators.metrics import feedback_cube, overall_metrics, request_summary, theme_summary
 from feedloom.operators.quotes import representative_quotes
 from feedloom.operators.signals import enrich
 from feedloom.operators.trends import (
@@ -58,7 +58,7 @@ def aggregate(feedback: DataFrame, *, period_days: int = 14) -> AnalysisResult:
     """Every aggregate of enriched feedback, filtered or not; enrichment does not run again."""
     volume = day_theme_volume(feedback)
     trends = theme_trends(volume, period_days=period_days)
-    themes = theme_summary(theme_subtheme_cube(feedback), trends)
+    themes = theme_summary(feedback_cube(feedback), period_days=period_days)
     return AnalysisResult(
         feedback=feedback,
         daily=daily_volume(volume),
@@ -68,7 +68,7 @@ def aggregate(feedback: DataFrame, *, period_days: int = 14) -> AnalysisResult:
         trends=trends,
         fastest_growing=fastest_growing(trends),
         themes=themes,
-        overall=overall_metrics(feedback, themes, trends),
+        overall=overall_metrics(feedback, themes),
         requests=request_summary(feedback),
         quotes=representative_quotes(feedback),
     )

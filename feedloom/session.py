@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,27 @@ def local_session(cores: int | str = 8, *, shuffle_partitions: int = 8, memory:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without it gets a new one."""
+    global _local_folder
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a shared folder before storing intermediate tables.")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="feedloom-")
+    return _local_folder
 
-    Only a local session without that setting gets a folder of its own.
+
+_local_folder: str | None = None
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and later passes read only the columns they need.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a shared folder before cutting lineage.")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="feedloom-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/feedloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
