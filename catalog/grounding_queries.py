@@ -8,6 +8,7 @@ from catalog.fixture import FEEDBACK_CTES, feedback, table
 from catalog.queries import STAMP, stored
 from catalog.registry import query
 from feedloom.operators import contracts, evidence, grounding
+from feedloom.session import materialize
 
 # Sentences about each country built from its own figures; every third report misstates them.
 CLAIMS_CTES = FEEDBACK_CTES + """,
@@ -72,7 +73,8 @@ def _(spark, sf_dir):
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("number"),
     )
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("value"))
-    prices = lines.select("report_id", F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("position"), "number")
+    line = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("number").cast("string"))
+    prices = lines.select("report_id", line.alias("path"), F.col("l_linenumber").alias("position"), "number")
     found = grounding.supported_numbers(prices, lines.select("report_id", "l_partkey").join(part, "l_partkey"))
     marked = prices.join(found.withColumn("_found", F.lit(True)), ["report_id", "path", "position"], "left")
     return marked.agg(F.count("*").alias("lines"), F.count_if(F.coalesce("_found", F.lit(False))).alias("supported"))
@@ -174,7 +176,7 @@ def _(spark, sf_dir):
     """Reports of all platforms checked against the evidence contexts of the same platforms."""
     rows = stored(spark, sf_dir).filter(F.col("platform").isNotNull())
     contexts = evidence.compact_insight_context(evidence.context_rows(rows, ["platform"], generated_at=STAMP), ["platform"])
-    contexts = contexts.select(F.col("platform").alias("report_id"), F.col("context_json").alias("document"))
+    contexts = materialize(contexts.select(F.col("platform").alias("report_id"), F.col("context_json").alias("document")))
     leaves = grounding.list_records(grounding.json_leaves(contexts), "representative_quotes", "review_id", "review_text")
     first = leaves.filter("position = 0").select(F.col("report_id").alias("platform"), F.col("review_id").alias("id"), F.col("review_text").alias("text"))
     counts = rows.groupBy("platform").agg(F.count("*").alias("n"))

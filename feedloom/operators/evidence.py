@@ -28,6 +28,7 @@ from feedloom.operators.segments import (
     sentiment_summary,
 )
 from feedloom.operators.trends import day_theme_volume, weekly_volume
+from feedloom.session import materialize
 
 SCHEMA_VERSION = "1.0"
 REQUIRED = ("review_id", "original_text", "rating", "sentiment", "primary_theme")
@@ -98,12 +99,16 @@ PAIN_FIELDS = (
 
 def pain_rankings(summary: DataFrame, by: Sequence[str] = (), *, limit: int = 8) -> DataFrame:
     """Top pain themes by frequency, growth and priority: one row per section and rank."""
-    pain = pain_only(summary)
-    ranked = []
-    for section, metric in PAIN_SECTIONS.items():
-        order = [F.desc(F.coalesce(F.col(metric), F.lit(0))), F.desc("frequency"), F.asc("theme")]
-        ranked.append(top_per_group(pain, by, order, limit, "rank").withColumn("section", F.lit(section)))
-    return reduce(DataFrame.unionByName, ranked)
+    ranks = {
+        section: F.row_number().over(window(by, F.desc(F.coalesce(F.col(metric), F.lit(0))), F.desc("frequency"), F.asc("theme")))
+        for section, metric in PAIN_SECTIONS.items()
+    }
+    ranked = pain_only(summary).withColumns({f"_{section}": rank for section, rank in ranks.items()})
+    sections = F.explode(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.col(f"_{section}").alias("rank")) for section in ranks
+    ]))
+    rows = ranked.select("*", sections.alias("_place")).select("*", "_place.*").filter(F.col("rank") <= limit)
+    return rows.drop("_place", *[f"_{section}" for section in ranks])
 
 
 def pain_records(df: DataFrame, summary: DataFrame, by: Sequence[str] = (), *, limit: int = 8) -> DataFrame:
@@ -195,16 +200,19 @@ def context_rows(df: DataFrame, by: Sequence[str] = (), *, raw_rows: int | None
                  generated_at: str | None = None, max_pain_points: int = 8, max_requests: int = 8, max_quotes: int = 16,
                  max_segment_values: int = 6, max_stories: int = 6,
                  watched: Sequence[tuple[str, str | None]] = WATCHED) -> DataFrame:
-    """Every piece of evidence as a row: ``by``, section, position (from 1; 0 for single objects), item as JSON."""
+    """Every piece of evidence as a row: ``by``, section, position (from 1; 0 for single objects), item as JSON.
+
+    Reads ``df`` about a dozen times: pass a stored table. The rows themselves are few and are stored.
+    """
     required_columns(df, (*REQUIRED, *by))
     summary = summarize_themes(df, by)
-    pain = pain_records(df, summary, by, limit=max_pain_points)
+    pain = materialize(pain_records(df, summary, by, limit=max_pain_points))
     has_requests = {"is_feature_request", "feature_request_group"} <= set(df.columns)
     parts: list[DataFrame] = [_items(pain, by, F.col("section"), F.col("rank"), sorted_json(pain, PAIN_FIELDS))]
     segments = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
 
     if has_requests:
-        requests = request_insights(df, by, limit=max_requests)
+        requests = materialize(request_insights(df, by, limit=max_requests))
         parts.append(_items(requests, by, F.lit("top_feature_requests"), F.col("rank"), sorted_json(requests, REQUEST_FIELDS)))
         groups = quote_groups(pain, requests, by)
     else:
@@ -258,7 +266,7 @@ def context_rows(df: DataFrame, by: Sequence[str] = (), *, raw_rows: int | None
     ]))
     parts.append(segments.select(*by, rows.alias("r")).select(*by, "r.*"))
     parts.append(attach(segments, quality, ()).select(*by, F.lit("data_quality").alias("section"), F.lit(0).alias("position"), "item"))
-    return reduce(DataFrame.unionByName, parts)
+    return materialize(reduce(DataFrame.unionByName, parts))
 
 
 def _items(frame: DataFrame, by: Sequence[str], section: Column, position: Column, item: Column) -> DataFrame:

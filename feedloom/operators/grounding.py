@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 8
+from feedloom.session import materialize
+
+MAX_DEPTH = 5
 # Wording that makes a claim hypothetical or a non-assertion, terms and patterns that need it, and
 # words that mark a number as measured.
 HYPOTHESIS_MARKERS = (
@@ -29,30 +31,31 @@ NUMBER_PATTERN = r"(?<![\p{L}\p{N}_.-])-?\d[\d,]*(?:\.\d+)?[\t-\r ]*%?"
 ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = 0.011, 0.012
 
 
-def json_leaves(docs: DataFrame, key: str = "report_id", json: str = "document") -> DataFrame:
+def json_leaves(docs: DataFrame, key: str = "report_id", json: str = "document", *, depth: int = MAX_DEPTH) -> DataFrame:
     """Scalar leaves of JSON documents: key, path (``a.b[0].c``), kind (number, string, boolean), value as text.
 
-    One ``variant_explode`` per nesting level, so a document is never parsed in Python.
+    One ``variant_explode`` per nesting level; leaves above the last level pass through. Deeper nesting fails loudly.
     """
-    level = docs.select(F.col(key), F.lit("").alias("path"), F.try_parse_json(F.col(json)).alias("v"))
-    leaves = []
-    for _ in range(MAX_DEPTH):
-        level = level.withColumn("_type", F.schema_of_variant("v"))
-        nested = F.col("_type").rlike("^(ARRAY|OBJECT)")
-        kind = (
-            F.when(F.col("_type") == "STRING", "string").when(F.col("_type") == "BOOLEAN", "boolean").otherwise("number")
+    nodes = docs.select(F.col(key), F.lit("").alias("_path"), F.try_parse_json(F.col(json)).alias("_v"))
+    nested = F.schema_of_variant("_v").rlike("^(ARRAY|OBJECT)")
+    for _ in range(depth):
+        children = nodes.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.when(nested, F.col("_v")).outer()))
+        step = (
+            F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+            .when(F.col("_path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
         )
-        leaves.append(level.filter(F.col("_type").isNotNull() & ~nested & (F.col("_type") != "VOID")).select(
-            key, "path", kind.alias("kind"), F.col("v").cast("string").alias("value")
-        ))
-        children = level.filter(nested).lateralJoin(
-            docs.sparkSession.tvf.variant_explode(F.col("v").outer())
+        nodes = children.select(
+            F.col(key),
+            F.when(nested, F.concat("_path", step)).otherwise(F.col("_path")).alias("_path"),
+            F.when(nested, F.col("value")).otherwise(F.col("_v")).alias("_v"),
         )
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
-            F.col("path") == "", F.col("key")
-        ).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = children.select(F.col(key), F.concat("path", step).alias("path"), F.col("value").alias("v"))
-    return reduce(DataFrame.unionByName, leaves)
+    kind = F.schema_of_variant("_v")
+    too_deep = F.raise_error(F.lit("A JSON document is nested too deeply.")).cast("string")
+    return nodes.filter(F.col("_v").isNotNull() & (kind != "VOID")).select(
+        key, F.col("_path").alias("path"),
+        F.when(nested, too_deep).when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("number").alias("kind"),
+        F.col("_v").cast("string").alias("value"),
+    )
 
 
 def evidence_ids(leaves: DataFrame) -> DataFrame:
@@ -174,9 +177,9 @@ def validated_ids(citations: DataFrame, available: DataFrame) -> DataFrame:
 def validate_reports(reports: DataFrame, evidence: DataFrame) -> DataFrame:
     """All findings: report_id, severity, path, message. A report without an error finding is grounded.
 
-    ``reports`` and ``evidence`` have columns report_id and document.
+    ``reports`` and ``evidence`` have columns report_id and document. Every check reads the leaves, so they are stored.
     """
-    said, shown = json_leaves(reports), json_leaves(evidence)
+    said, shown = materialize(json_leaves(reports)), materialize(json_leaves(evidence))
     claims = said.filter(F.col("kind") == "string").select("report_id", "path", F.col("value").alias("text"))
     references = list_records(said, "evidence", "review_id", "quote")
     cited = claims.filter(F.col("path").contains("supporting_review_ids[")).select(

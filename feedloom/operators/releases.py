@@ -56,7 +56,7 @@ def _fill_release_merged(df: DataFrame, releases: DataFrame, date: str, name: st
     starts = timeline.select("_month", carried.alias("_before")).join(inside, "_month", "left")
     earlier = F.filter("_inside", lambda r: r["_released"] <= F.to_date(F.col(date)))
     out = df.withColumn("_month", month).join(starts, "_month", "left")
-    return out.withColumn(name, F.coalesce(F.element_at(earlier, -1)["version"], F.col("_before"))).drop(
+    return out.withColumn(name, F.coalesce(F.try_element_at(earlier, F.lit(-1))["version"], F.col("_before"))).drop(
         "_month", "_before", "_inside"
     )
 
