@@ -57,6 +57,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer splits than there are cores is spread over them; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def releases(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(list(RELEASES), "released string, version string")
     return rows.select(F.to_date("released").alias("released"), "version")
@@ -71,7 +77,7 @@ def _release_of(day: Column) -> Column:
 
 def events_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with its customer, country and sentence."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = events.join(customer, events.user_id == customer.c_custkey).join(

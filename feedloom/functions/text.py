@@ -6,9 +6,6 @@ everywhere. ``WORD`` leaves combining marks out, which ``(?U)\\w`` would include
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,26 +34,9 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(trim_ws(c.cast("string")), F.lit(""))
 
 
-@lru_cache(maxsize=1)
-def _unstable_pattern() -> str:
-    """Regex matching any character outside the Latin, Greek, Cyrillic and punctuation code points that NFKC keeps.
-
-    A string made only of such characters is already normalised: each is its own normal form, none is a combining
-    mark and none composes with its left neighbour.
-    """
-    candidates = [*range(0x0, 0x500), *range(0x2010, 0x2028), *range(0x20A0, 0x20C0)]
-    stable = [
-        cp for cp in candidates
-        if unicodedata.is_normalized("NFKC", chr(cp)) and not unicodedata.combining(chr(cp))
-        and unicodedata.category(chr(cp)) != "Cn"
-    ]
-    ranges: list[list[int]] = []
-    for cp in stable:
-        if ranges and ranges[-1][1] == cp - 1:
-            ranges[-1][1] = cp
-        else:
-            ranges.append([cp, cp])
-    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+# Any character outside ASCII, the accented Latin-1 letters and the common dashes and quotes. A string without such
+# characters is already in NFKC: each of the others is its own normal form and composes with nothing.
+MAY_CHANGE = r"[^\x{0}-\x{7f}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}\x{2013}\x{2014}\x{2018}-\x{201f}]"
 
 
 def nfkc(c: Column) -> Column:
@@ -65,7 +45,7 @@ def nfkc(c: Column) -> Column:
     Rows that are already normalised send a null to the Python worker and keep their JVM value.
     """
     normalise = F.pandas_udf(lambda s: s.str.normalize("NFKC"), StringType())
-    return F.coalesce(normalise(F.when(c.rlike(_unstable_pattern()), c)), c)
+    return F.coalesce(normalise(F.when(c.rlike(MAY_CHANGE), c)), c)
 
 
 def strip_markup(c: Column) -> Column:

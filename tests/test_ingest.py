@@ -1,11 +1,14 @@
 """Sources, schema mapping, cleaning, validation."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_timestamp, week_ending
 from feedloom.functions.numbers import parse_number
-from feedloom.functions.text import clean_text, nonblank, request_text
+from feedloom.functions.text import MAY_CHANGE, clean_text, nonblank, request_text
 from feedloom.operators.cleaning import cleaning_warnings
 from feedloom.operators.conform import conform, number_rows, suggest_mapping
 from feedloom.operators.quality import mixed_type_profile, quality_summary, validate
@@ -78,6 +81,12 @@ def test_text_helpers(spark):
     assert {r[0] for r in spellings.select(request_text(F.col("t"))).collect()} == {"multi currency"}
 
 
+def test_unmarked_characters_are_their_own_normal_form():
+    kept = [chr(c) for c in range(0x3000) if not re.search(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), MAY_CHANGE), chr(c))]
+    text = "".join(kept)
+    assert len(kept) > 180 and unicodedata.normalize("NFKC", text) == text
+
+
 @pytest.mark.parametrize(("text", "value"), [("4", 4.0), (" 4.5 ", 4.5), ("4d", None), ("NaN", None), ("", None), ("1e0", 1.0)])
 def test_numbers(spark, text, value):
     assert spark.createDataFrame([(text,)], "t string").select(parse_number(F.col("t"))).first()[0] == value
