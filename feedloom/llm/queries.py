@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog.registry import prepare
+from feedloom.llm.bpe import Vocabulary, round_trip
+from feedloom.llm.chat import CLOSE, OPEN, digest, events_of, format_conversations
 from feedloom.llm.exact import exact_duplicates
+from feedloom.llm.language import identify_languages
 from feedloom.llm.minhash import near_duplicates
+from feedloom.llm.mixing import mix_rows
+from feedloom.llm.pii import replace_entities
+from feedloom.llm.quality import quality
+from feedloom.llm.toxicity import toxicity
+from feedloom.llm.urls import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
+    """One of the public vocabularies that the installed package of that name describes."""
+    import public_tokenizers
+
+    return Vocabulary.read(public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
 @query("op1_minhash_near_dedup", rf"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -64,3 +80,64 @@ FROM (SELECT doc_id, {LOWER} AS t FROM documents) x
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
+
+
+@query("op4_chat_format", f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, string_agg(coalesce(text, ''), '' ORDER BY coalesce(text, '')) AS text FROM conversations GROUP BY 1, 2, 3
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn), '')) AS loss_sha256,
+  CAST(sum({len(OPEN) + len(CLOSE) + 1} + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return digest(format_conversations(events_of(rows.unionByName(extra))))
+
+
+#: Which sites are accepted or rejected outright.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("ratio", "probability")
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rows(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_tokens")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pii_surrogates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = replace_entities(table(spark, sf_dir, "documents"), key="feedloom")
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "text", "entities")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
