@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import picked, store
+from feedloom.llm.bloom import maybe_in, might_be
+from feedloom.llm.common import fresh, picked, store
 
 FINGERPRINT_BITS, RUN = 48, 1 << 14
 _FILTER = "quotient long, remainders binary, counts binary"
@@ -103,6 +104,22 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _digested(text: pa.Array) -> pa.Array:
+    """Struct (fingerprint, sha) of each text."""
+    _, shas, prints = _digests(pa.RecordBatch.from_arrays([text], ["text"]))
+    return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(shas, pa.binary())], ["fingerprint", "sha"])
+
+
+def _groups(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repeated fingerprints, and groups of equal texts (fingerprint, sha, keep_id, copies) that their bytes confirm."""
+    repeated = store(counting_filter(prints, prints.count()).where("copies > 1").select("fingerprint"), "repeated")
+    collapsed = docs.mapInArrow(_collapsed, "text binary, fingerprint long, sha binary, keep_id long, copies long")
+    routed = maybe_in(collapsed, "fingerprint", repeated).join(repeated, "fingerprint", "left_semi")
+    # Only the bytes decide here; the digest goes along as the name of the verified group.
+    verified = routed.groupBy("fingerprint", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"), F.min("sha").alias("sha")).drop("text")
+    return repeated, store(verified, "verified")
+
+
 def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -112,11 +129,7 @@ def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_colum
     """
     docs = picked(documents, doc_id=id_column, text=text_column)
     prints = store(docs.mapInArrow(_fingerprints, "doc_id long, fingerprint long, sha binary"), "fingerprints")
-    repeated = counting_filter(prints, prints.count()).where("copies > 1").select("fingerprint")
-    routed = docs.mapInArrow(_collapsed, "text binary, fingerprint long, sha binary, keep_id long, copies long").join(repeated, "fingerprint", "left_semi")
-    # Only the bytes decide here; the digest goes along as the name of the verified group.
-    verified = routed.groupBy("fingerprint", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"), F.min("sha").alias("sha")).drop("text")
-    verified = store(verified, "verified")
+    _, verified = _groups(docs, prints)
     return prints.join(verified, ["fingerprint", "sha"], "left").select(
         "doc_id",
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -124,3 +137,24 @@ def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_colum
         F.when(F.col("copies").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with its columns: the one with the largest id, one of them if several have it.
+
+    Texts that are not repeated, and null ids without an equal text, are passed on without a shuffle. An empty table gives
+    no rows.
+    """
+    docs = picked(documents, doc_id=id_column, text=text_column)
+    prints = store(docs.mapInArrow(_fingerprints, "doc_id long, fingerprint long, sha binary"), "fingerprints")
+    repeated, verified = _groups(docs, prints)
+    own = {n: fresh(documents.columns, n) for n in ("digest", "fingerprint", "sha", "keep_id")}
+    kind = "struct<fingerprint: long, sha: binary>"
+    digest = F.arrow_udf(_digested, kind).asNondeterministic()(F.col(f"`{text_column}`").cast("string"))
+    marked = documents.withColumn(own["digest"], digest).withColumns({own[n]: F.col(f"{own['digest']}.{n}") for n in ("fingerprint", "sha")}).drop(own["digest"])
+    suspect = might_be(own["fingerprint"], repeated)
+    groups = verified.select(*[F.col(n).alias(f"g_{n}") for n in ("fingerprint", "sha", "keep_id")], F.lit(True).alias("g_found"))
+    joined = marked.where(suspect).join(groups, (F.col(own["fingerprint"]) == F.col("g_fingerprint")) & (F.col(own["sha"]) == F.col("g_sha")), "left")
+    stays = F.col("g_found").isNull() | F.col(f"`{id_column}`").eqNullSafe(F.col("g_keep_id"))
+    checked = joined.where(stays).drop(*groups.columns).dropDuplicates([own["sha"]])
+    return marked.where(~suspect).unionByName(checked).select(*[F.col(f"`{c}`") for c in documents.columns])
