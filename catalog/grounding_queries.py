@@ -103,14 +103,14 @@ def _(spark, sf_dir):
 
 CITED_CTES = FEEDBACK_CTES + """,
 cited AS (SELECT country AS report_id, CASE WHEN source_row_number % 11 = 0 THEN review_id || 'x' ELSE review_id END AS review_id,
-  CASE WHEN source_row_number % 7 = 0 THEN original_text || ' ' ELSE original_text END AS quote FROM feedback WHERE channel = 'error'),
+  CASE WHEN source_row_number % 7 = 0 THEN original_text || ' ' ELSE original_text END AS quote FROM feedback),
 known AS (SELECT country AS report_id, review_id, original_text AS review_text FROM feedback)"""
 
 
 def _cited(spark, sf_dir):
     rows = feedback(spark, sf_dir)
     n = F.col("source_row_number")
-    cited = rows.filter(F.col("channel") == "error").select(
+    cited = rows.select(
         F.col("country").alias("report_id"), F.when(n % 11 == 0, F.concat("review_id", F.lit("x"))).otherwise(F.col("review_id")).alias("review_id"),
         F.when(n % 7 == 0, F.concat("original_text", F.lit(" "))).otherwise(F.col("original_text")).alias("quote"),
     )
@@ -174,7 +174,7 @@ def _reports(rows):
 @query("report_findings")
 def _(spark, sf_dir):
     """Reports of all platforms checked against the evidence contexts of the same platforms."""
-    rows = stored(spark, sf_dir).filter(F.col("platform").isNotNull())
+    rows = stored(spark, sf_dir).withColumn("platform", F.coalesce("platform", F.lit("no platform")))
     contexts = evidence.compact_insight_context(evidence.context_rows(rows, ["platform"], generated_at=STAMP), ["platform"])
     contexts = materialize(contexts.select(F.col("platform").alias("report_id"), F.col("context_json").alias("document")))
     leaves = grounding.list_records(grounding.json_leaves(contexts), "representative_quotes", "review_id", "review_text")
@@ -185,7 +185,7 @@ def _(spark, sf_dir):
 
 @query("contract_violations", FEEDBACK_CTES, """SELECT 'Web' AS report_id, 'recommended_actions[0].confidence' AS path, 'not an allowed value' AS rule FROM feedback WHERE platform = 'Web' LIMIT 1""")
 def _(spark, sf_dir):
-    rows = feedback(spark, sf_dir).filter(F.col("platform").isNotNull()).groupBy("platform").agg(
+    rows = feedback(spark, sf_dir).withColumn("platform", F.coalesce("platform", F.lit("no platform"))).groupBy("platform").agg(
         F.count("*").alias("n"), F.min("review_id").alias("id"), F.min("original_text").alias("text")
     )
     return contracts.contract_violations(_reports(rows))

@@ -688,8 +688,8 @@ STAMP = "2024-02-01T00:00:00+00:00"
 
 @query("platform_contexts")
 def _(spark, sf_dir):
-    """One compact evidence context per platform, all in one job."""
-    rows = stored(spark, sf_dir).filter(F.col("platform").isNotNull())
+    """One compact evidence context per platform, rows without one included, all in one job."""
+    rows = stored(spark, sf_dir)
     return evidence.compact_insight_context(evidence.context_rows(rows, ["platform"], generated_at=STAMP), ["platform"], max_characters=9_000)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import blank_to_null, nonblank
+from feedloom.session import materialize
 from feedloom.vocab.columns import ALIASES, CATEGORICAL
 
 
@@ -31,9 +32,9 @@ def suggest_mapping(columns: Sequence[str]) -> dict[str, str | None]:
 def check_mapping(columns: Sequence[str], mapping: Mapping[str, str | None]) -> None:
     sources = [s for s in mapping.values() if s]
     if len(sources) != len(set(sources)):
-        raise ValueError("Each source column can be mapped only once.")
+        raise ValueError("One source column is used for several fields.")
     if mapping.get("review_text") not in columns:
-        raise ValueError("A valid review_text mapping is required.")
+        raise ValueError("review_text needs a column of the table.")
 
 
 def conform(df: DataFrame, mapping: Mapping[str, str | None] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -57,37 +58,24 @@ def tidy_categories(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> Data
     return df.withColumns({c: blank_to_null(F.col(c)) for c in columns if c in df.columns})
 
 
-def number_rows(df: DataFrame, order_by: str, *, buckets: int = 64, name: str = "source_row_number",
-                start: int = 2) -> DataFrame:
-    """Dense row numbers in the order of a unique key, without sorting the table in one task.
+def number_rows(df: DataFrame, order_by: str, *, name: str = "source_row_number", start: int = 2) -> DataFrame:
+    """Dense row numbers in the order of a key of any sortable type, without sorting the table in one task.
 
-    Cut points of the key split the table into ranges; a range starts at the count of the ranges before it and rows
-    are numbered inside their own range. The cut points only balance the work: any set of them is exact.
+    Spark deals the rows into ranges of the key, whose number follows the shuffle settings and the measured size, and sorts
+    each. The dealt rows are stored, because the numbers are only right if counts and rows come from the same deal. A range
+    starts after the rows of the ranges before it.
     """
-    data_type = df.schema[order_by].dataType.typeName()
-    as_double = F.col(order_by).cast("double") if data_type != "timestamp_ntz" else (
-        F.unix_micros(F.col(order_by).cast("timestamp")).cast("double")
-    )
-    wanted = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(as_double, wanted, 1000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(found))
-    bucket = F.lit(0)
-    if cuts:
-        points = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.size(F.filter(points, lambda p: p <= as_double))
-    marked = df.withColumn("_bucket", bucket)
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = sizes.select(
-        "_bucket",
-        (F.sum("_rows").over(Window.orderBy("_bucket")) - F.col("_rows")).alias("_before"),
-    )
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_by))
-    # `before` has one row per cut point range, at most `buckets` rows.
+    position = F.monotonically_increasing_id()  # task number in the high bits, row in the task in the low 33
+    dealt = df.repartitionByRange(order_by).sortWithinPartitions(order_by).withColumns({
+        "_range": F.shiftright(position, 33), "_inside": position.bitwiseAND(F.lit((1 << 33) - 1)),
+    })
+    dealt = materialize(dealt)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
     return (
-        marked.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_bucket")
-        .withColumn(name, (F.col("_before") + F.col("_inside") + F.lit(start - 1)).cast("long"))
-        .drop("_bucket", "_before", "_inside")
+        dealt.join(before, "_range")
+        .withColumn(name, (F.col("_before") + F.col("_inside") + F.lit(start)).cast("long"))
+        .drop("_range", "_before", "_inside")
     )
 
 

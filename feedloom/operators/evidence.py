@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.numbers import safe_float, safe_share, smoothed_growth, trend_direction
 from feedloom.operators.filters import pain_only
-from feedloom.operators.grouping import attach, null_safe, optional, sorted_distinct, top_per_group, window, with_group_value
+from feedloom.operators.grouping import attach, null_safe, optional, sorted_distinct, top_per_group, window, with_group_value, without_keys
 from feedloom.operators.metrics import summarize_themes
 from feedloom.operators.quality import quality_summary, required_columns
 from feedloom.operators.quotes import id_lists, representative_ids, request_ids, unique_quote_evidence
@@ -365,6 +365,4 @@ def fingerprints(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def stale_segments(current: DataFrame, stored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Segments whose fingerprint differs from the stored one, or that have none."""
-    return current.select(*by, "context_fingerprint").join(
-        stored.select(*by, "context_fingerprint"), [*by, "context_fingerprint"], "left_anti"
-    )
+    return without_keys(current.select(*by, "context_fingerprint"), stored, [*by, "context_fingerprint"])

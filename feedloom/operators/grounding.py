@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from feedloom.session import materialize
 
-MAX_DEPTH = 5
 # Wording that makes a claim hypothetical or a non-assertion, terms and patterns that need it, and
 # words that mark a number as measured.
 HYPOTHESIS_MARKERS = (
@@ -31,11 +30,26 @@ NUMBER_PATTERN = r"(?<![\p{L}\p{N}_.-])-?\d[\d,]*(?:\.\d+)?[\t-\r ]*%?"
 ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = 0.011, 0.012
 
 
-def json_leaves(docs: DataFrame, key: str = "report_id", json: str = "document", *, depth: int = MAX_DEPTH) -> DataFrame:
+def json_depth(docs: DataFrame, json: str = "document") -> int:
+    """An upper bound of the nesting of the documents, from their brackets; brackets inside strings may raise it."""
+    brackets = F.split(F.regexp_replace(F.coalesce(F.col(json), F.lit("")), r"[^\[\]{}]+", ""), "")
+    step = F.aggregate(
+        brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct(
+            (s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"),
+            F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"),
+        ),
+    )
+    return docs.agg(F.max(step["most"])).first()[0] or 0
+
+
+def json_leaves(docs: DataFrame, key: str = "report_id", json: str = "document", *, depth: int | None = None) -> DataFrame:
     """Scalar leaves of JSON documents: key, path (``a.b[0].c``), kind (number, string, boolean), value as text.
 
-    One ``variant_explode`` per nesting level; leaves above the last level pass through. Deeper nesting fails loudly.
+    One ``variant_explode`` per nesting level; leaves above the last level pass through. Without ``depth`` the levels are
+    taken from the documents, so any nesting is read.
     """
+    depth = json_depth(docs, json) if depth is None else depth
     nodes = docs.select(F.col(key), F.lit("").alias("_path"), F.try_parse_json(F.col(json)).alias("_v"))
     nested = F.schema_of_variant("_v").rlike("^(ARRAY|OBJECT)")
     for _ in range(depth):
@@ -50,7 +64,7 @@ def json_leaves(docs: DataFrame, key: str = "report_id", json: str = "document",
             F.when(nested, F.col("value")).otherwise(F.col("_v")).alias("_v"),
         )
     kind = F.schema_of_variant("_v")
-    too_deep = F.raise_error(F.lit("A JSON document is nested too deeply.")).cast("string")
+    too_deep = F.raise_error(F.lit("Nested deeper than the given depth.")).cast("string")
     return nodes.filter(F.col("_v").isNotNull() & (kind != "VOID")).select(
         key, F.col("_path").alias("path"),
         F.when(nested, too_deep).when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("number").alias("kind"),
@@ -148,9 +162,8 @@ def unsupported_numbers(numbers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def check_quotes(citations: DataFrame, quotes: DataFrame) -> DataFrame:
     """Status of each citation: exact, altered, or unavailable where the id has no quote in the evidence."""
-    known = quotes.groupBy("report_id", "review_id").agg(F.max_by("review_text", "position").alias("_source")) if (
-        "position" in quotes.columns
-    ) else quotes.select("report_id", "review_id", F.col("review_text").alias("_source"))
+    latest = F.max_by("review_text", "position") if "position" in quotes.columns else F.max("review_text")
+    known = quotes.groupBy("report_id", "review_id").agg(latest.alias("_source"))
     status = (
         F.when(F.col("_source").isNull(), "unavailable").when(F.col("quote") == F.col("_source"), "exact").otherwise("altered")
     )
@@ -195,18 +208,18 @@ def validate_reports(reports: DataFrame, evidence: DataFrame) -> DataFrame:
     flagged = claims.withColumns(marker_flags(F.col("text")))
     numbers = unsupported_numbers(number_claims(claims), evidence_numbers(shown))
     limited = said.filter(F.col("path").startswith("confidence_assessment.limitations[")).select("report_id").distinct()
-    kind = F.when(F.col("severity") == "error", "Unsupported measured value '").otherwise("Ambiguous numeric value '")
+    kind = F.when(F.col("severity") == "error", "No evidence for the measured number '").otherwise("Number without evidence, not clearly measured: '")
     return reduce(DataFrame.unionByName, [
-        finding(quotes, error, F.concat(F.lit("evidence["), "position", F.lit("]")), F.lit("Evidence quote for "), "review_id",
-                F.when(F.col("status") == "unavailable", " is unavailable in the compact quote evidence.")
-                .otherwise(" is not exact source text.")),
+        finding(quotes, error, F.concat(F.lit("evidence["), "position", F.lit("]")), F.lit("Quote of "), "review_id",
+                F.when(F.col("status") == "unavailable", " has no source text to compare with.")
+                .otherwise(" differs from its source text.")),
         finding(invalid_ids(cited, evidence_ids(shown)).select("report_id").distinct(), error, nowhere,
-                F.lit("Generated report cited review IDs absent from the supplied context.")),
+                F.lit("The report cites reviews that the evidence does not hold.")),
         finding(flagged.filter("unsupported_business"), error, F.col("path"),
-                F.lit("Unsupported business-impact claim in "), "path", F.lit(".")),
+                F.lit("Business effect claimed without support in "), "path", F.lit(".")),
         finding(flagged.filter("unsupported_causal"), error, F.col("path"),
-                F.lit("Unsupported causal claim in "), "path", F.lit(".")),
+                F.lit("Cause claimed without support in "), "path", F.lit(".")),
         finding(numbers, F.col("severity"), F.col("path"), kind, "claim", F.lit("' in "), "path", F.lit(".")),
         finding(reports.select("report_id").distinct().join(limited, "report_id", "left_anti"), error, nowhere,
-                F.lit("Confidence assessment must include limitations.")),
+                F.lit("No limitation is named in the confidence assessment.")),
     ]).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import iso_date
 from feedloom.functions.numbers import safe_float
 from feedloom.functions.text import nonblank, trim_ws
-from feedloom.operators.grouping import ids_in_rank_order, optional, top_per_group, window
+from feedloom.operators.grouping import ids_in_rank_order, null_safe, optional, top_per_group, window, without_keys
 from feedloom.vocab.themes import POSITIVE_FEEDBACK
 
 QUOTE_FIELDS = ("review_id", "original_text", "date", "rating", "platform", "primary_theme")
@@ -165,8 +165,8 @@ def _full_groups(depth: int) -> Column:
 def _ranked_candidates(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of each evidence group with their ranking keys; blank texts are out."""
     def rows(kind: str, column: str, first: Column, confidence: Column) -> DataFrame:
-        keys = F.broadcast(groups.filter(F.col("kind") == kind).withColumnRenamed("key", column))  # at most 13 per group
-        return df.filter(nonblank(F.col("original_text"))).join(keys, [*by, column]).select(
+        keys = groups.filter((F.col("kind") == kind) & F.col("key").isNotNull()).select(*by, F.col("key").alias(column), "position")
+        return null_safe(df.filter(nonblank(F.col("original_text"))), keys, [*by, column], "inner").select(
             *by, "position", first.alias("_first"), F.coalesce(confidence, F.lit(float("-inf"))).alias("_confidence"),
             F.col("review_id").cast("string").alias("_id"), F.col("original_text").alias("_text"),
             optional(df, "source_row_number", 0, "long").alias("_row"),
@@ -198,7 +198,7 @@ def _fill_rounds(candidates: DataFrame, groups: DataFrame, by: Sequence[str], li
         rows = candidates.filter(F.col("position") == position)
         if taken is not None:
             for column in ("_id", "_text"):
-                rows = rows.join(taken.select(*by, column), [*by, column], "left_anti")
+                rows = without_keys(rows, taken, [*by, column])
         best = top_per_group(rows, [*by, "position"], _candidate_order(), 1, "_rank").drop("_rank")
         taken = best if taken is None else taken.unionByName(best)
     return _first_quotes(taken.select(*by, "position", "quote"), by, limit)

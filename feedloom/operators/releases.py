@@ -14,7 +14,6 @@ from feedloom.operators.grouping import ids_in_rank_order, null_safe, optional,
 # The (theme, platform) pairs watched by default, and the smallest change worth telling.
 WATCHED = (("App Performance", "Android"), ("Payment and Checkout", None))
 MIN_CHANGE = 0.05
-MAX_INLINE_RELEASES = 1_000
 
 
 def version_key(version: Column) -> Column:
@@ -26,35 +25,24 @@ def version_key(version: Column) -> Column:
 def fill_release(df: DataFrame, releases: DataFrame, date: str = "date", *, name: str = "expected_version") -> DataFrame:
     """The newest release on or before each date (backward as-of join); null before the first release.
 
-    A calendar of checked size turns into one sorted array that every row searches, with no shuffle of the rows. A
-    larger one is merged with the rows by date and carried forward within date buckets.
+    One plan for calendars of every size. A day keeps one release, of several the one whose version sorts last as text, so
+    a month holds at most 31; each month starts from the last release before it, and rows join their month. Releases
+    without a date are never current. Whether the table of months is broadcast follows from its measured size.
     """
-    rows = releases.select("released", "version").limit(MAX_INLINE_RELEASES + 1).collect()
-    if len(rows) > MAX_INLINE_RELEASES:
-        return _fill_release_merged(df, releases, date, name)
-    calendar = sorted((r["released"], r["version"]) for r in rows)
-    if not calendar:
-        return df.withColumn(name, F.lit(None).cast("string"))
-    days = F.array(*[F.lit(d) for d, _ in calendar])
-    versions = F.array(*[F.lit(v) for _, v in calendar])
-    # The dates are sorted, so the count of dates not after the row's date is the position of its release.
-    position = F.size(F.filter(days, lambda d: d <= F.to_date(F.col(date))))
-    return df.withColumn(name, F.when(position > 0, F.get(versions, position - 1)))
-
-
-def _fill_release_merged(df: DataFrame, releases: DataFrame, date: str, name: str) -> DataFrame:
-    """Each month starts from the last release before it; inside a month the join is on the month."""
-    month = F.trunc(F.to_date(F.col(date)), "month")
-    calendar = releases.select(
-        F.to_date("released").alias("_released"), "version", F.trunc(F.to_date("released"), "month").alias("_month")
+    day = F.to_date(F.col(date))
+    month = F.trunc(day, "month")
+    days = (
+        releases.select(F.to_date("released").alias("_released"), "version").filter(F.col("_released").isNotNull())
+        .groupBy("_released").agg(F.max("version").alias("version")).withColumn("_month", F.trunc("_released", "month"))
     )
-    latest = calendar.groupBy("_month").agg(F.max_by("version", "_released").alias("_last"))
+    inside = days.groupBy("_month").agg(F.array_sort(F.collect_list(F.struct("_released", "version"))).alias("_inside"))
     months = df.select(month.alias("_month")).filter(F.col("_month").isNotNull()).distinct()
-    timeline = months.unionByName(latest.select("_month")).distinct().join(latest, "_month", "left")
-    carried = F.last("_last", ignorenulls=True).over(Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
-    inside = calendar.groupBy("_month").agg(F.array_sort(F.collect_list(F.struct("_released", "version"))).alias("_inside"))
-    starts = timeline.select("_month", carried.alias("_before")).join(inside, "_month", "left")
-    earlier = F.filter("_inside", lambda r: r["_released"] <= F.to_date(F.col(date)))
+    timeline = months.join(inside, "_month", "full")
+    last = F.try_element_at("_inside", F.lit(-1))["version"]
+    # One row per calendar month.
+    before = F.last(last, ignorenulls=True).over(Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1))
+    starts = timeline.select("_month", "_inside", before.alias("_before"))
+    earlier = F.filter("_inside", lambda r: r["_released"] <= day)
     out = df.withColumn("_month", month).join(starts, "_month", "left")
     return out.withColumn(name, F.coalesce(F.try_element_at(earlier, F.lit(-1))["version"], F.col("_before"))).drop(
         "_month", "_before", "_inside"

@@ -26,6 +26,7 @@ class _Index:
 
     def __init__(self, rules: RequestRules):
         self.terms: list[str] = []
+        self.places: dict[str, int] = {}
         self.entries: list[list[tuple]] = []
         self.combinations: list[dict] = []
         self.groups = [r.group for r in rules.rules]
@@ -58,10 +59,10 @@ class _Index:
             self._add(_START + _whole(opening), (-1, _INTENT, 0, 0, opening))
 
     def _add(self, term: str, entry: tuple | None) -> int:
-        if term not in self.terms:
+        position = self.places.setdefault(term, len(self.terms))
+        if position == len(self.terms):
             self.terms.append(term)
             self.entries.append([])
-        position = self.terms.index(term)
         if entry is not None:
             self.entries[position].append(entry)
         return position

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import iso_date
 from feedloom.functions.numbers import in_rating_range, safe_float, safe_share
 from feedloom.functions.text import blank_to_null, nonblank
-from feedloom.operators.grouping import null_safe, optional, top_per_group, window
+from feedloom.operators.grouping import optional, top_per_group, window
 from feedloom.vocab.themes import NON_PAIN_THEMES
 
 DIMENSIONS = ("platform", "app_version", "user_segment", "subscription_tier")
@@ -19,24 +19,27 @@ SENTIMENTS = ("Negative", "Neutral", "Positive")
 
 def dataset_summary(df: DataFrame, by: Sequence[str] = (), *, raw_rows: int | None = None,
                     approximate_distinct: bool = False) -> DataFrame:
+    """Rows, dates and the number of different values. Rows collapse to one per combination of values first, so that the
+    distinct counts run over few rows."""
     counted = F.approx_count_distinct if approximate_distinct else F.count_distinct
     names = {
         "platforms": "platform", "versions": "app_version", "countries": "country", "user_segments": "user_segment",
         "subscription_tiers": "subscription_tier",
     }
     date = optional(df, "date", data_type="timestamp_ntz")
-    return df.groupBy(*by).agg(
+    present = {f"_{name}": blank_to_null(F.col(c)) for name, c in names.items() if c in df.columns}
+    cube = df.select(*by, *[value.alias(name) for name, value in present.items()], date.alias("_date")).groupBy(*by, *present).agg(
+        F.count("*").alias("_rows"), F.min("_date").alias("_first"), F.max("_date").alias("_last")
+    )
+    first, last = F.min("_first"), F.max("_last")
+    return cube.groupBy(*by).agg(
         F.lit(raw_rows).cast("long").alias("total_raw_reviews"),
-        F.count("*").alias("total_cleaned_reviews"),
-        iso_date(F.min(date)).alias("date_start"),
-        iso_date(F.max(date)).alias("date_end"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_cleaned_reviews"),
+        iso_date(first).alias("date_start"),
+        iso_date(last).alias("date_end"),
         # Whole days between the raw timestamps, as the summary reports them.
-        (F.floor((F.unix_micros(F.max(date).cast("timestamp")) - F.unix_micros(F.min(date).cast("timestamp")))
-                 / F.lit(86_400_000_000)) + 1).alias("total_days"),
-        *[
-            (counted(blank_to_null(F.col(c))) if c in df.columns else F.lit(0).cast("long")).alias(name)
-            for name, c in names.items()
-        ],
+        (F.floor((F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / F.lit(86_400_000_000)) + 1).alias("total_days"),
+        *[(counted(f"_{name}") if f"_{name}" in present else F.lit(0).cast("long")).alias(name) for name in names],
     )
 
 
@@ -97,18 +100,25 @@ def mode_by_count(counts: DataFrame, keys: Sequence[str], value: str, name: str)
 def segment_insights(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, by: Sequence[str] = (), *,
                      limit: int = 6) -> DataFrame:
     """The largest ``limit`` values of every dimension with shares, mean rating, top pain theme and top request."""
-    cube = segment_cube(df, dimensions, by)
     keys = [*by, "dimension", "value"]
+    # One chain over the cube, so that what the cube is made of is computed once.
+    cube = segment_cube(df, dimensions, by).withColumns({
+        "_theme_rows": F.sum("rows").over(window([*keys, "primary_theme"])), "_request_rows": F.sum("rows").over(window([*keys, "request_group"])),
+    })
+    pain = F.col("primary_theme").isNotNull() & ~F.col("primary_theme").isin(*NON_PAIN_THEMES)
+
+    def leading(condition: Column, count: str, value: str) -> Column:
+        return F.min(F.when(condition, F.struct((-F.col(count)).alias("count"), F.col(value).alias("value"))))["value"]
+
     values = cube.groupBy(*keys).agg(
         F.sum("rows").alias("review_count"),
         safe_share(F.sum("negative_rows"), F.sum("rows")).alias("negative_share"),
         safe_share(F.sum("positive_rows"), F.sum("rows")).alias("positive_share"),
         safe_float(F.sum("rating_sum") / F.sum("rating_rows")).alias("average_rating"),
+        leading(pain, "_theme_rows", "primary_theme").alias("top_pain_point"),
+        leading(F.col("request_group").isNotNull(), "_request_rows", "request_group").alias("top_feature_request"),
     )
-    kept = top_per_group(values, [*by, "dimension"], [F.desc("review_count"), F.asc("value")], limit, "rank")
-    pain = cube.filter(~F.col("primary_theme").isin(*NON_PAIN_THEMES))
-    kept = null_safe(kept, mode_by_count(pain, keys, "primary_theme", "top_pain_point"), keys)
-    return null_safe(kept, mode_by_count(cube, keys, "request_group", "top_feature_request"), keys)
+    return top_per_group(values, [*by, "dimension"], [F.desc("review_count"), F.asc("value")], limit, "rank")
 
 
 def sentiment_distribution(df: DataFrame) -> DataFrame:

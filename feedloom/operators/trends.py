@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import week_ending
 from feedloom.functions.numbers import clamp, smoothed_growth
 from feedloom.operators.filters import pain_only
-from feedloom.operators.grouping import null_safe, top_per_group, window
+from feedloom.operators.grouping import top_per_group, window
 
 MIN_COVERAGE_DAYS = 14
 
@@ -44,17 +44,23 @@ def weekly_volume(volume: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     weeks = volume.withColumn("week", week_ending(F.col("day"))).groupBy(*by, "week").agg(
         F.sum("feedback_count").alias("_count"), F.sum("negative_count").alias("_negative")
     )
-    span = weeks.groupBy(*by).agg(F.min("week").alias("_first"), F.max("week").alias("_last"))
-    calendar = span.filter(F.col("_first").isNotNull()).select(
-        *by, F.explode(F.sequence("_first", "_last", F.expr("interval 7 days"))).alias("week")
-    )
-    return null_safe(calendar, weeks, [*by, "week"]).select(
+    filled = _filled(weeks, by, "week", 7)
+    own = F.col("week") == F.col("_own")
+    return filled.select(
         *by, "week",
-        F.coalesce("_count", F.lit(0)).alias("feedback_count"),
-        (F.col("_negative") * 100.0 / F.col("_count")).alias("negative_percentage"),
+        F.when(own, F.col("_count")).otherwise(0).alias("feedback_count"),
+        F.when(own, F.col("_negative") * 100.0 / F.col("_count")).alias("negative_percentage"),
     )
 
 
+def _filled(rows: DataFrame, by: Sequence[str], period: str, days: int) -> DataFrame:
+    """Every row once per period from its own (kept as ``_own``) up to the next row's. No second pass over the source."""
+    following = F.date_sub(F.lead(period).over(window(by, F.col(period))), days)
+    periods = F.sequence(F.col(period), F.coalesce(following, F.col(period)), F.expr(f"interval {days} days"))
+    rows = rows.filter(F.col(period).isNotNull()).withColumn("_periods", periods)
+    return rows.select(*[c for c in rows.columns if c not in ("_periods", period)], F.col(period).alias("_own"), F.explode("_periods").alias(period))
+
+
 def calendar_week_negative(volume: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weeks with data, labelled by their first day (Tuesday); nothing unless at least two weeks have data."""
     weeks = volume.withColumn("week_start", F.date_sub(week_ending(F.col("day")), 6)).groupBy(*by, "week_start").agg(
@@ -86,15 +92,11 @@ def coverage_days(by: Sequence[str] = ()):
 
 def rolling_volume(volume: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """7-day mean over zero-filled days, full weeks only, for 14 to 180 days of coverage and 10 days with data."""
-    days = daily_volume(volume, by).select(*by, "day", "feedback_count")
-    span = days.groupBy(*by).agg(F.min("day").alias("_first"), F.max("day").alias("_last"), F.count("*").alias("_days"))
-    coverage = F.datediff("_last", "_first") + 1
-    calendar = span.filter(coverage.between(MIN_COVERAGE_DAYS, 180) & (F.col("_days") >= 10)).select(
-        *by, F.explode(F.sequence("_first", "_last")).alias("day")
-    )
-    filled = null_safe(calendar, days, [*by, "day"]).withColumn(
-        "feedback_count", F.coalesce("feedback_count", F.lit(0))
-    )
+    days = daily_volume(volume, by).select(*by, "day", "feedback_count").withColumns({
+        "_coverage": coverage_days(by), "_days": F.count("*").over(window(by)),
+    })
+    days = days.filter(F.col("_coverage").between(MIN_COVERAGE_DAYS, 180) & (F.col("_days") >= 10))
+    filled = _filled(days, by, "day", 1).withColumn("feedback_count", F.when(F.col("day") == F.col("_own"), F.col("feedback_count")).otherwise(0))
     week = window(by, F.col("day")).rowsBetween(-6, 0)
     return filled.select(
         *by, "day",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,15 +34,20 @@ def local_session(cores: int | str = 8, *, shuffle_partitions: int = 8, memory:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session without it gets a new one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Without it a session whose executor is the driver itself gets a folder of its own, which goes with the process; any
+    other session has to name one.
+    """
     global _local_folder
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a shared folder before storing intermediate tables.")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="feedloom-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 

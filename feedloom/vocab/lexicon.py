@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Seed valences on the usual -4..4 scale.
 SEED = """
@@ -62,5 +63,6 @@ class Lexicon:
 
     @classmethod
     def from_dataframe(cls, df: DataFrame) -> "Lexicon":
-        rows = df.select("token", "valence").limit(cls.MAX_TOKENS + 1).collect()
+        """From columns token and valence. A token that stands there twice counts with its larger valence."""
+        rows = df.filter("token IS NOT NULL").groupBy("token").agg(F.max("valence").alias("valence")).limit(cls.MAX_TOKENS + 1).collect()
         return cls({r["token"]: float(r["valence"]) for r in rows})

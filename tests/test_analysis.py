@@ -108,11 +108,17 @@ def test_versions_sort_by_number_and_releases_fill(spark):
     df = spark.createDataFrame([("3.10.0",), ("3.9.0",), ("beta",), ("3",)], "v string")
     assert [r[0] for r in df.orderBy(releases.version_key(F.col("v"))).collect()] == ["beta", "3", "3.9.0", "3.10.0"]
     rows = series(spark, 60)
-    calendar = spark.sql("SELECT DATE '2025-01-03' AS released, 'a' AS version UNION ALL SELECT DATE '2025-02-10', 'b'")
-    inline = releases.fill_release(rows, calendar).select("review_id", "expected_version").collect()
-    merged = releases._fill_release_merged(rows, calendar, "date", "expected_version").select("review_id", "expected_version").collect()
-    assert sorted(map(tuple, inline), key=repr) == sorted(map(tuple, merged), key=repr)
-    assert dict(map(tuple, inline))["R000"] is None and dict(map(tuple, inline))["R059"] == "b"
+    calendar = spark.sql("SELECT DATE '2025-01-03' AS released, 'a' AS version UNION ALL SELECT DATE '2025-02-10', 'b' UNION ALL SELECT NULL, 'z'")
+    found = dict(map(tuple, releases.fill_release(rows, calendar).select("review_id", "expected_version").collect()))
+    assert found["R000"] is None and found["R002"] == "a" and found["R059"] == "b"
+
+
+def test_releases_of_one_day_and_long_calendars(spark):
+    """Three thousand days with three releases each, against a plain search."""
+    calendar = spark.range(9000).select(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") / 3).cast("int")).alias("released"), F.format_string("v%d", F.col("id") % 3).alias("version"))
+    rows = spark.range(0, 4000, 13).select("id", F.date_add(F.lit("1999-12-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    found = {r["id"]: r["expected_version"] for r in releases.fill_release(rows, calendar).collect()}
+    assert found == {i: (None if i < 31 else "v2") for i in range(0, 4000, 13)}
 
 
 def test_context_budget(analyzed):

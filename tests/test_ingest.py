@@ -13,7 +13,7 @@ from feedloom.operators.cleaning import cleaning_warnings
 from feedloom.operators.conform import conform, number_rows, suggest_mapping
 from feedloom.operators.quality import mixed_type_profile, quality_summary, validate
 from feedloom.plans import ingest
-from feedloom.sources.csv import read_feedback_csv
+from feedloom.sources.csv import describe_files, file_warnings, read_feedback_csv
 from feedloom.sources.sinks import write_csv, write_json
 from feedloom.sources.tables import file_fingerprints, new_files
 
@@ -59,17 +59,19 @@ def test_validation_messages(source):
 def test_mapping_by_alias_and_errors(source):
     assert suggest_mapping(["Content", "score", "AT", "source", "id"])["date"] == "AT"
     assert suggest_mapping(["region", "city"])["country"] == "region"
-    with pytest.raises(ValueError, match="only once"):
+    with pytest.raises(ValueError, match="several fields"):
         conform(source, {"review_text": "content", "rating": "content"})
     with pytest.raises(ValueError, match="review_text"):
         conform(source, {"rating": "score"})
 
 
-def test_row_numbers_do_not_depend_on_layout(spark):
-    rows = spark.range(500).withColumn("id", F.col("id") * 7).repartition(7)
-    for buckets in (1, 5, 64):
-        got = number_rows(rows, "id", buckets=buckets).orderBy("id").select("source_row_number").collect()
-        assert [r[0] for r in got] == list(range(2, 502))
+@pytest.mark.parametrize("kind", ["long", "string", "date", "timestamp", "timestamp_ntz", "double"])
+def test_row_numbers_follow_any_key(spark, kind):
+    key = {"long": F.col("id"), "string": F.format_string("%06d", "id"), "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+           "double": F.col("id") / 8}.get(kind, F.timestamp_seconds("id").cast(kind))
+    rows = spark.range(500).withColumn("id", F.col("id") * 7).select("id", key.alias("key")).repartition(7)
+    got = number_rows(rows, "key").orderBy("id").select("source_row_number").collect()
+    assert [r[0] for r in got] == list(range(2, 502))
 
 
 def test_text_helpers(spark):
@@ -117,20 +119,32 @@ def test_csv_scan(spark, tmp_path):
     assert rows["R1"]["content"] == "line one\nline two" and rows["R2"]["content"] is None
     assert rows["R3"]["score"] is None and rows["R4"]["content"] == "café"
     assert sorted(r["source_row_number"] for r in rows.values()) == [2, 3, 4, 5]
-    long = tmp_path / "c.csv"
-    long.write_text("id,content\nR1,x,extra\n")
-    with pytest.raises(Exception, match="more fields"):
-        read_feedback_csv(spark, str(long)).collect()
+    assert len(file_warnings(describe_files(spark, [str(good), str(latin)]))) == 1
+    for name, line in (("c", "R1,x,extra"), ("g", "R1,x,,extra"), ("h", 'R1,"x, y",z'), ("i", "R1,x,")):
+        long = tmp_path / f"{name}.csv"
+        long.write_text(f"id,content\nR0,fine\n{line}\n")
+        with pytest.raises(Exception, match="more fields"):
+            read_feedback_csv(spark, str(long)).collect()
     empty, header = tmp_path / "d.csv", tmp_path / "e.csv"
     empty.write_text("")
     header.write_text("id,content\n")
-    for path, message in ((empty, "empty"), (header, "no rows"), (tmp_path / "f.txt", "select a CSV")):
+    for path, message in ((empty, "empty"), (header, "no rows"), (tmp_path / "f.txt", "end in .csv")):
         with pytest.raises(ValueError, match=message):
             read_feedback_csv(spark, str(path))
     with pytest.raises(ValueError, match="limit of 2"):
         read_feedback_csv(spark, str(good), max_rows=2)
 
 
+def test_csv_headers_are_aligned_by_name(spark, tmp_path):
+    for name, text in (("a", "id,content\nR1,one\n"), ("b", 'content,id\n"two, with comma",R2\nshort\n'), ("c", "id,other\nR3,x\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows = read_feedback_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+    assert {(r["id"], r["content"]) for r in rows} == {("R1", "one"), ("R2", "two, with comma"), (None, "short")}
+    assert sorted(r["source_row_number"] for r in rows) == [2, 3, 4]
+    with pytest.raises(ValueError, match="other columns"):
+        read_feedback_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
+
+
 def test_manifest_and_sinks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
