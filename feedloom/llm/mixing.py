@@ -133,10 +133,13 @@ def mix_rows(documents: DataFrame, text_column: str = "text", source_column: str
     edge = store(edge.select(F.col("source").alias("e_source"), F.col("block").alias("e_block"), "before"), "edges")
     inner = keys.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
     inside = Window.partitionBy("source").orderBy("hash", "id", "content")
-    running = inner.withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("tokens").over(Window.partitionBy("source", "hash", "id", "content")))
+    through = F.sum("tokens").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("tokens").over(Window.partitionBy("source", "hash", "id", "content"))
+    running = inner.withColumn("at", F.col("before") + through - own)
     stop = running.where(F.col("at") < F.col("rest")).groupBy("source").agg(F.max(F.struct("hash", "id", "content")).alias("stop"))
     names = {n: fresh(documents.columns, n) for n in ("mix_stop", "mix_of", "mix_last")}
-    stops = stop.select(F.col("source").alias(names["mix_of"]), F.col("stop").alias(names["mix_stop"]))
+    # Stored, so that its size is known and a table of few sources is broadcast instead of shuffling the texts.
+    stops = store(stop, "stops").select(F.col("source").alias(names["mix_of"]), F.col("stop").alias(names["mix_stop"]))
     ended = joined.join(stops, source.eqNullSafe(F.col(names["mix_of"])), "left")
     is_last = F.struct(last.alias("hash"), own_id.alias("id"), content.alias("content")) <= F.col(names["mix_stop"])
     upto = F.when(F.coalesce(is_last, F.lit(False)), whole).otherwise(whole - 1)

@@ -72,7 +72,7 @@ def mixed(spark, rows, **settings):
 
 def test_weights_epochs_and_budget(spark):
     sizes = {"a": 600, "b": 120, "c": 40, None: 10}
-    rows = [(hash((s, i)) & 0xFFFFFFF, "x" * (40 + 4 * (i % 7)), s, 0) for s, n in sizes.items() for i in range(n)]
+    rows = [(10_000 * k + i, "x" * (40 + 4 * (i % 7)), s, 0) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     frame, got = mixed(spark, rows, entropy=0.9, repetitions=3.0, block_tokens=200)
     tokens = {s: sum(math.ceil(len(r[1]) / 4) for r in rows if r[2] == s) for s in sizes}
     total = sum(tokens.values())
