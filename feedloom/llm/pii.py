@@ -1,7 +1,7 @@
 """Surrogates for personal data: detected entities get keyed, type-consistent replacements. DataFrame functions only.
 
 Entities are mail addresses, network addresses, phone, card and social security numbers, account numbers (IBAN), secrets
-(long hex strings and quoted values of token, key, secret, password) and names after a form of address. The canonical form of
+(long hex strings, quoted values of token, secret, password and the like, keys with a known beginning) and names after a form of address. The canonical form of
 an entity (type, lower case, separators dropped) gets one surrogate for the whole corpus, so mentions in different spelling
 or in different documents stay the same person. Surrogates are made from SHA-2 of key, type and canonical form: digits for
 digits, letters of the same script and case for letters, names with the ending of the same gender. Two canonical forms with
@@ -21,7 +21,7 @@ from feedloom.llm.common import fresh, store
 #: Types in order of precedence, with the pattern of a whole entity.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "assigned": r"(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\n]{6,200}(?=[\"'])",
+    "assigned": r"(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\n]{6,200}(?=[\"'])|(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:\p{N}{1,3}\.){3}\p{N}{1,3}(?!\.?\p{N})",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
