@@ -27,7 +27,7 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?!\p{N})|(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?(?:[0-9]{3}[ .-]?[0-9]{3,4}|[0-9]{5,8})(?!\p{N})|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?!\p{N})|(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
     "female": r"(?<=(?:Mrs|Ms)\.? |Miss |Frau |Mme |Madame |Señora |Sra\. |г-жа |госпожа )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
     "male": r"(?<=Mr\.? |Herr |Herrn |Monsieur |Señor |Sr\. |г-н |господин )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }

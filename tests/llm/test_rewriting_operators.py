@@ -147,6 +147,7 @@ def test_entities_are_replaced_and_nothing_else(spark):
     n = len(PRIVATE)
     assert got[n].split()[1].lower() == got[0].split()[1].rstrip(","), "one surrogate for both spellings"
     assert re.sub(r"\D", "", got[n].split()[3]) == re.sub(r"\D", "", got[3])
+    assert got[3].endswith(", after.") and replace_entities(spark.createDataFrame([(1, "+1 (017) 555-7713 1.2.3 4.0")], "doc_id long, text string"), key="k").first().text.endswith(" 1.2.3 4.0")
     assert got[n + 1] == texts[n + 1] and got[n + 2] is None and got[n + 3] == ""
     assert re.fullmatch(r"Mrs [A-Z][a-z]+a [A-Z][a-z]+ met Mr [A-Z][a-z]+o and г-жа [А-Я][а-я]+а\.", got[n + 4]) and "Anna" not in got[n + 4]
     assert re.fullmatch(r'token = "[a-z]{3}-[A-Z]{3}_\d{3}[a-z]{3}"', got[n + 5]) and "abc-DEF" not in got[n + 5]
