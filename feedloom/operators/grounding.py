@@ -141,10 +141,12 @@ def supported_numbers(numbers: DataFrame, evidence: DataFrame) -> DataFrame:
     ends = evidence.filter(F.col("value").isNotNull()).groupBy("report_id", number_bucket(F.col("value")).alias("_bucket")).agg(
         F.min("value").alias("_low"), F.max("value").alias("_high")
     )
+    # The evidence is the small side: its buckets are widened, a number keeps one row per reading.
+    around = F.explode(F.sequence(F.col("_bucket") - 2, F.col("_bucket") + 2))
+    wide = ends.select("report_id", around.alias("_bucket"), "_low", "_high")
     readings = F.explode(F.array(F.col("number"), F.col("number") / 100.0))
     near = numbers.filter(F.col("number").isNotNull()).select("*", readings.alias("_reading"))
-    around = F.explode(F.sequence(number_bucket(F.col("_reading")) - 2, number_bucket(F.col("_reading")) + 2))
-    near = near.select("*", around.alias("_bucket")).join(ends, ["report_id", "_bucket"])
+    near = near.withColumn("_bucket", number_bucket(F.col("_reading"))).join(wide, ["report_id", "_bucket"])
 
     def within(source: str) -> Column:
         tolerance = F.greatest(F.lit(ABSOLUTE_TOLERANCE), F.abs(source) * RELATIVE_TOLERANCE)

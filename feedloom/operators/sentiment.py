@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,11 +69,13 @@ def score_text(text: str, valences: dict[str, float]) -> float:
 
 
 def polarity(text: Column, lexicon: Lexicon | None = None) -> Column:
-    """Lexicon polarity. The modifiers look at neighbouring tokens, so each text is scored in one Arrow call."""
+    """Lexicon polarity. The modifiers look at neighbouring tokens, so a text is scored as a whole, once per batch."""
     valences = dict((lexicon or Lexicon.default()).valences)
 
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else score_text(t, valences))
+        place, different = pd.factorize(texts)
+        scores = np.array([*(score_text(t, valences) for t in different), np.nan])
+        return pd.Series(scores[place]).where(place >= 0, None)
 
     return F.pandas_udf(score, DoubleType())(text)
 
