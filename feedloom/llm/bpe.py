@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import picked, store
+from feedloom.llm.common import picked, store_bucketed
 
 #: Bytes of text in a block, and the largest vocabulary that may be sent to tasks.
 BLOCK, MAX_VOCABULARY = 16 << 20, 1_000_000
@@ -213,7 +213,8 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_i
     """
     spark = documents.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = store(picked(documents, doc_id=id_column, text=text_column).mapInArrow(_cut(vocabulary.pattern, buckets), _BLOCKS), "blocks")
+    cut = picked(documents, doc_id=id_column, text=text_column).mapInArrow(_cut(vocabulary.pattern, buckets), _BLOCKS)
+    blocks = store_bucketed(cut, "blocks", "block")
     ranks = spark.sparkContext.broadcast(vocabulary.ranks)
     words = blocks.select("block", F.explode("dictionary").alias("d")).select("block", "d.bucket", "d.lengths", "d.bytes")
     tokens = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks), "block long, bucket int, tokens binary, counts binary")
