@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import fresh, store
 
-#: Types in order of precedence, with the pattern of a whole entity.
+#: Types in order of precedence, with the pattern of a whole entity. Cheap tests stand before costly ones: a pattern is
+#: tried at every position of a text.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "assigned": r"(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\n]{6,200}(?=[\"'])|(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "assigned": r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\n]{6,200}(?=[\"'])|(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:\p{N}{1,3}\.){3}\p{N}{1,3}(?!\.?\p{N})",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?(?:[0-9]{3}[ .-]?[0-9]{3,4}|[0-9]{5,8})(?!\p{N})|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?!\p{N})|(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
-    "female": r"(?<=(?:Mrs|Ms)\.? |Miss |Frau |Mme |Madame |Señora |Sra\. |г-жа |госпожа )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
-    "male": r"(?<=Mr\.? |Herr |Herrn |Monsieur |Señor |Sr\. |г-н |господин )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "female": r"(?=\p{Lu})(?<= )(?<=(?:Mrs|Ms)\.? |Miss |Frau |Mme |Madame |Señora |Sra\. |г-жа |госпожа )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "male": r"(?=\p{Lu})(?<= )(?<=Mr\.? |Herr |Herrn |Monsieur |Señor |Sr\. |г-н |господин )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; a cheap test ahead of the patterns.
