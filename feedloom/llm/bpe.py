@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import picked, store_bucketed
 
 #: Bytes of text in a block, and the largest vocabulary that may be sent to tasks.
-BLOCK, MAX_VOCABULARY = 16 << 20, 1_000_000
+BLOCK, MAX_VOCABULARY = 12 << 20, 1_000_000
 
 
 @dataclass(frozen=True)
