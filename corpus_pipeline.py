@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from catalog.registry import prepare
 from feedloom.llm import exact, minhash
-from feedloom.llm.bpe import digests, encode
+from feedloom.llm.bpe import round_trip
 from feedloom.llm.common import store
 from feedloom.llm.mixing import mix_rows
 from feedloom.llm.quality import keep_good
@@ -52,9 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, tokens, and the digests of ids and of the decoded bytes."""
     prepare(spark)
-    words = vocabulary()
-    tokens = encode(docs, words).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", digests(F.col("tokens"), words).alias("d"))
-    return tokens.select("doc_id", "n_tokens", "tokens", "d.ids_sha256", "d.decoded_sha256")
+    return round_trip(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -205,12 +205,8 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 256], pa.int64()), tokens], ["doc_id", "tokens"])
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: doc_id and tokens (array of ids). No special tokens; their strings are ordinary text.
-
-    Null and empty texts have no tokens. Repeated rows and null ids are rows like any other. Other columns are not looked
-    at. An empty table gives no rows.
-    """
+def _placed(documents: DataFrame, vocabulary: Vocabulary, id_column: str, text_column: str) -> DataFrame:
+    """Blocks of documents, each with the ids of its words."""
     spark = documents.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = picked(documents, doc_id=id_column, text=text_column).mapInArrow(_cut(vocabulary.pattern, buckets), _BLOCKS)
@@ -220,7 +216,16 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_i
     tokens = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks), "block long, bucket int, tokens binary, counts binary")
     # A block has at most one part per distinct word.
     parts = tokens.groupBy("block").agg(F.collect_list(F.struct("bucket", "tokens", "counts")).alias("parts"))
-    return blocks.select("block", "ids", "words", "codes").join(parts, "block", "left").mapInArrow(_reassemble, "doc_id long, tokens array<int>")
+    return blocks.select("block", "ids", "words", "codes").join(parts, "block", "left")
+
+
+def encode(documents: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: doc_id and tokens (array of ids). No special tokens; their strings are ordinary text.
+
+    Null and empty texts have no tokens. Repeated rows and null ids are rows like any other. Other columns are not looked
+    at. An empty table gives no rows.
+    """
+    return _placed(documents, vocabulary, id_column, text_column).mapInArrow(_reassemble, "doc_id long, tokens array<int>")
 
 
 @dataclass(frozen=True)
@@ -258,23 +263,22 @@ def decoded(tokens: Column, vocabulary: Vocabulary) -> Column:
     return F.arrow_udf(decode, "binary").asNondeterministic()(tokens)
 
 
-def digests(tokens: Column, vocabulary: Vocabulary) -> Column:
-    """Struct (ids_sha256, decoded_sha256): of the decimal ids joined by commas, and of the decoded bytes."""
-    pieces = _token_bytes(vocabulary)
-    table, decimal = _Strings.of(pieces), _Strings.of([b"%d," % i for i in range(len(pieces))])
-
-    def digest(column: pa.Array) -> pa.Array:
-        ids = [hashlib.sha256(s[:-1]).hexdigest() for s in decimal.joined(column)]
-        texts = [hashlib.sha256(s).hexdigest() for s in table.joined(column)]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["ids_sha256", "decoded_sha256"])
+def _digested(table: _Strings, decimal: _Strings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _reassemble(batches):
+            tokens = batch.column("tokens")
+            ids = [hashlib.sha256(s[:-1]).hexdigest() for s in decimal.joined(tokens)]
+            texts = [hashlib.sha256(s).hexdigest() for s in table.joined(tokens)]
+            yield batch.append_column("ids_sha256", pa.array(ids, pa.string())).append_column("decoded_sha256", pa.array(texts, pa.string()))
 
-    return F.arrow_udf(digest, "struct<ids_sha256: string, decoded_sha256: string>").asNondeterministic()(tokens)
+    return run
 
 
-def round_trip(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return (
-        encode(documents, vocabulary)
-        .select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), digests(F.col("tokens"), vocabulary).alias("d"))
-        .select("doc_id", "n_tokens", "d.ids_sha256", "d.decoded_sha256")
-    )
+def round_trip(documents: DataFrame, vocabulary: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row: doc_id, n_tokens, tokens, ids_sha256, decoded_sha256: of the decimal ids joined by commas, and of the bytes
+    decoded from the ids. Ids are decoded where they are put in place, in one Python worker. Edge cases as in ``encode``."""
+    pieces = _token_bytes(vocabulary)
+    finish = _digested(_Strings.of(pieces), _Strings.of([b"%d," % i for i in range(len(pieces))]))
+    schema = "doc_id long, tokens array<int>, ids_sha256 string, decoded_sha256 string"
+    done = _placed(documents, vocabulary, id_column, text_column).mapInArrow(finish, schema)
+    return done.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "ids_sha256", "decoded_sha256")
