@@ -25,7 +25,8 @@ from feedloom.llm.calibration import calibrate
 from feedloom.llm.common import in_share, store
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+#: Examples per block, and blocks visited at a time.
+BLOCK, VISIT = 64, 8
 NEIGHBOURS = 15
 #: Beginnings of words that are terms besides the words themselves, for languages that build words from stems.
 PREFIXES = range(4, 9)
@@ -101,12 +102,12 @@ def _document_frequencies(terms: list[str]):
 
 @dataclass
 class Index:
-    """Examples as rows of term weights of length one, with postings per term and the largest weight per block."""
+    """Examples as term weights of length one: ``blocks[block, term, place]``, and the largest weight per term and block."""
 
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    blocks: np.ndarray
     block_max: np.ndarray
 
     def vector(self, counts: dict[int, int], rest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,20 +120,20 @@ class Index:
     def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; among equal cosines those in the better block."""
         bounds = weight @ self.block_max[which]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            bound = bounds[block]
-            if bound <= 0 or (len(best) >= k and bound <= 1e-9 - best[k - 1][0]):
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(order), VISIT):
+            visited = order[at : at + VISIT]
+            if len(places) == k and bounds[visited[0]] <= cosines[-1] + 1e-9:
                 break
-            low, high = block * BLOCK, (block + 1) * BLOCK
-            scores = np.zeros(BLOCK)
-            for term, w in zip(which, weight):
-                places, weights = self.postings[term]
-                a, b = np.searchsorted(places, (low, high))
-                scores[places[a:b] - low] += w * weights[a:b]
-            best += [(-float(scores[i]), int(low + i)) for i in np.flatnonzero(scores > 0) if low + i != without]
-            best = sorted((round(s, 12), p) for s, p in best)[:k]
-        return np.array([p for _, p in best], np.int64), np.array([-s for s, _ in best])
+            scores = np.round(np.matmul(weight, self.blocks[visited[:, None], which]), 12).ravel()
+            new = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = (scores > 0) & (new != (-1 if without is None else without))
+            places, cosines = np.concatenate([places, new[found]]), np.concatenate([cosines, scores[found]])
+            best = np.lexsort((places, -cosines))[:k]
+            places, cosines = places[best], cosines[best]
+        return places, cosines
 
     def vote(self, which: np.ndarray, weight: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
         """Share of toxic votes, weighted by cosine over distance; without a neighbour 0."""
@@ -145,15 +146,12 @@ class Index:
 
 def build_index(idf: np.ndarray, examples: list[tuple[int, int, dict[int, int], int]]) -> Index:
     """Index of (id, label, term counts, other words)."""
-    index = Index(idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float), [], np.zeros((0, 0)))
-    lists: list[list[tuple[int, float]]] = [[] for _ in range(len(idf) + 1)]
+    blocks = np.zeros((-(-len(examples) // BLOCK), len(idf) + 1, BLOCK))
+    index = Index(idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float), blocks, np.zeros((0, 0)))
     for place, (_, _, counts, rest) in enumerate(examples):
-        for term, weight in zip(*index.vector(counts, rest)):
-            lists[term].append((place, float(weight)))
-    index.postings = [(np.array([p for p, _ in own], np.int64), np.array([w for _, w in own])) for own in lists]
-    index.block_max = np.zeros((len(lists), -(-len(examples) // BLOCK)))
-    for row, (places, weights) in zip(index.block_max, index.postings):
-        np.maximum.at(row, places // BLOCK, weights)
+        which, weight = index.vector(counts, rest)
+        blocks[place // BLOCK, which, place % BLOCK] = weight
+    index.block_max = blocks.max(axis=2).T if len(examples) else np.zeros((len(idf) + 1, 0))
     return index
 
 
