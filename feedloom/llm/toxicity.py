@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.calibration import calibrate
@@ -181,8 +181,9 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     A term stands in at least ``support`` of the texts of one label, and its two shares differ by ``z`` standard errors.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~in_share(F.col("doc_id"), *held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    dealt = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = store(known.withColumn("place", F.row_number().over(dealt)).where(F.col("place") <= max_examples).select("doc_id", "toxic"), "examples")
+    # A limit per label instead of a window, which would read a label's rows in one task.
+    drawn = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for label in (0, 1)]
+    sample = store(drawn[0].unionByName(drawn[1]), "examples")
     # At most 2 * max_examples rows of two numbers.
     texts = store(documents.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_sketched, "doc_id long, toxic int, text string, sketch long"), "texts")
     single = texts.join(F.broadcast(texts.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))), ["sketch", "doc_id"]).dropDuplicates(["doc_id"])
