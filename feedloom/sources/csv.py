@@ -87,7 +87,9 @@ def read_feedback_csv(spark: SparkSession, paths: str | Sequence[str], *, encodi
             out = out.unionByName(part)
     # Quoted values may hold commas; without them the commas of a record tell its fields.
     fields = F.length(F.regexp_replace(F.regexp_replace(RAW, '"([^"]|"")*"', ""), "[^,]", "")) + 1
-    too_long = F.raise_error(F.lit(f"A row has more fields than the header, which has {len(names)}."))
+    # Naming a field keeps it among the columns read: Spark refuses to read the raw record alone.
+    begins = F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))
+    too_long = F.raise_error(F.concat(F.lit(f"A row has more fields than the header, which has {len(names)}; it begins with "), begins))
     out = out.filter(F.when(F.col(RAW).isNull() | (fields <= len(names)), F.lit(True)).otherwise(too_long.cast("boolean"))).drop(RAW)
     if na_tokens:
         out = out.withColumns({c: F.when(~F.col(f"`{c}`").isin(*na_tokens), F.col(f"`{c}`")) for c in names})
