@@ -2,7 +2,7 @@
 
 The examples are a bounded sample of the labelled rows, dealt by a hash of the id, at most ``max_examples`` of each label.
 Terms are the words and beginnings of words whose share of toxic examples differs significantly from their share of the
-others; copies of one text count once, by a sketch of their words. Document frequencies for the weights are counted over all documents. An inverted
+others; equal texts of one label, but for case and white space, count once. Document frequencies for the weights are counted over all documents. An inverted
 index over the examples keeps, per term and block of examples, the largest weight: a query adds up these maxima, visits the
 blocks from the best bound on, and stops when no block can reach its k-th best cosine any more, so the k nearest are exact.
 The votes of the neighbours are calibrated on the examples themselves, each judged without its own text.
@@ -41,18 +41,6 @@ def _terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """With a number that nearly all copies of a text share: of its two least word hashes."""
-    import xxhash
-
-    for batch in batches:
-        sketches = []
-        for text in batch.column("text").to_pylist():
-            least = sorted(xxhash.xxh64_intdigest(w) >> 1 for w in _words(text))[:2] or [0]
-            sketches.append(least[0] ^ (least[-1] << 1) & (2**63 - 1))
-        yield batch.append_column("sketch", pa.array(sketches, pa.int64()))
-
-
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many examples of each label hold a term."""
     counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -64,6 +52,11 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays(columns, ["term", "clean", "toxic"])
 
 
+def _copy_key(text: Column) -> Column:
+    """Equal for texts that differ by case and white space only."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), 256)
+
+
 class Matcher:
     """Counts of known terms in a text, and of the words without one."""
 
@@ -117,7 +110,7 @@ class Index:
         norm = math.sqrt(float(weight @ weight)) if len(weight) else 0.0
         return which, weight / norm if norm else weight
 
-    def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int | np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term; among equal cosines those in the better block."""
         bounds = weight @ self.block_max[which]
         order = np.argsort(-bounds, kind="stable")
@@ -129,13 +122,13 @@ class Index:
                 break
             scores = np.round(np.matmul(weight, self.blocks[visited[:, None], which]), 12).ravel()
             new = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = (scores > 0) & (new != (-1 if without is None else without))
+            found = (scores > 0) & ~np.isin(new, -1 if without is None else without)
             places, cosines = np.concatenate([places, new[found]]), np.concatenate([cosines, scores[found]])
             best = np.lexsort((places, -cosines))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def vote(self, which: np.ndarray, weight: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
+    def vote(self, which: np.ndarray, weight: np.ndarray, without: int | np.ndarray | None = None) -> tuple[float, np.ndarray]:
         """Share of toxic votes, weighted by cosine over distance; without a neighbour 0."""
         places, cosines = self.nearest(which, weight, without=without)
         if not len(places):
@@ -185,9 +178,10 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     drawn = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples) for label in (0, 1)]
     sample = store(drawn[0].unionByName(drawn[1]), "examples")
     # At most 2 * max_examples rows of two numbers.
-    texts = store(documents.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_sketched, "doc_id long, toxic int, text string, sketch long"), "texts")
-    single = texts.join(F.broadcast(texts.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))), ["sketch", "doc_id"]).dropDuplicates(["doc_id"])
-    single = store(single.select("doc_id", "toxic", "text"), "texts")
+    texts = documents.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.struct(_copy_key(F.col("text")).alias("key"), "text").alias("it"))
+    # An id that stands on several rows gives one text, copies of a text within a label one example.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("it").alias("it")).groupBy("toxic", "it.key").agg(F.min(F.struct("doc_id", "it.text")).alias("first"))
+    single = store(texts.select("first.doc_id", "toxic", "first.text", "key"), "texts")
 
     sizes = {r.toxic: r["count"] for r in single.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -202,10 +196,14 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     total = found.pop(-1, 0)
     idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(terms))])
 
-    matched = single.mapInArrow(_matched(terms), "doc_id long, toxic int, terms array<int>, counts array<int>, rest int").orderBy("doc_id").collect()
+    matched = single.mapInArrow(_matched(terms), "doc_id long, toxic int, key string, terms array<int>, counts array<int>, rest int").orderBy("doc_id").collect()
     examples = [(r.doc_id, r.toxic, dict(zip(r.terms, r.counts)), r.rest) for r in matched]
     index = build_index(idf, examples)
-    raw = np.array([index.vote(*index.vector(counts, rest), without=place)[0] for place, (_, _, counts, rest) in enumerate(examples)])
+    # A text that has both labels stands there twice: neither row judges the other.
+    own: dict[str, list[int]] = {}
+    for place, r in enumerate(matched):
+        own.setdefault(r.key, []).append(place)
+    raw = np.array([index.vote(*index.vector(counts, rest), without=np.array(own[r.key]))[0] for r, (_, _, counts, rest) in zip(matched, examples)])
     return Scorer(terms, index, *calibrate(raw, index.labels))
 
 
@@ -216,10 +214,10 @@ def _matched(terms: list[str]):
             made = [matcher.counts(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c, _ in made], pa.list_(pa.int32())),
+                    batch.column("doc_id"), batch.column("toxic"), batch.column("key"), pa.array([list(c) for c, _ in made], pa.list_(pa.int32())),
                     pa.array([list(c.values()) for c, _ in made], pa.list_(pa.int32())), pa.array([r for _, r in made], pa.int32()),
                 ],
-                ["doc_id", "toxic", "terms", "counts", "rest"],
+                ["doc_id", "toxic", "key", "terms", "counts", "rest"],
             )
 
     return run

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.llm import urls
 from feedloom.llm.language import identify_languages
 from feedloom.llm.quality import estimate, keep_good, quality
-from feedloom.llm.toxicity import build_index, toxicity
+from feedloom.llm.toxicity import build_index, learn, toxicity
 from feedloom.llm.urls import filter_urls
 
 SF = "/root/testdata/sf0.01"
@@ -152,6 +152,16 @@ def test_toxicity_of_odd_rows(spark, labels):
     assert toxicity(frame.limit(0), labels).collect() == []
 
 
+def test_only_copies_of_one_label_count_once(spark):
+    """Texts with the same least word hashes, and equal texts of the two labels, all stay examples."""
+    shared = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one"
+    rows = [(i, f"{shared} {'foul' if i % 2 else 'fine'} w{chr(97 + i % 26)}{chr(97 + i // 26)}x", i % 2) for i in range(60)]
+    rows += [(100, "The  same\nfoul text", 1), (101, "the same foul text", 1), (102, "the same foul text", 0)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    scorer = learn(documents.select("doc_id", "text"), documents.select("doc_id", "toxic"), held_out=(1, 9))
+    assert sorted(scorer.index.ids.tolist()) == [*range(60), 100, 102]
+
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 URLS = {
     "http://a.example.net/en/1?x=/de/": ("a.example.net", "/en/1", "example.net/en/"),
