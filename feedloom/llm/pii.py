@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import fresh, store
 
+#: Next digit of a phone number at the brackets of an area code.
+_BRACKETS = r"(?<=\+[0-9]{1,3})[ .-]?\([0-9]|(?<=\([0-9]{1,5})\)[ .-]?[0-9]"
+#: A country code of one digit and ten digits in any groups; or 5 to 15 digits in all, in whole groups, of which only the first
+#: after the code and a bracketed one may be a single digit. The total keeps the next number out.
+INTERNATIONAL = (
+    rf"\+(?:[17]|[0-9](?=[ .(-]))(?:[ .-]?[0-9]|{_BRACKETS}){{10}}(?!\p{{N}})"
+    rf"|\+[0-9](?:[0-9]|[ .-][0-9](?=[0-9])|(?<=\+[0-9]{{1,3}})[ .-][0-9]|{_BRACKETS}){{4,14}}(?!\p{{N}})(?<!\([0-9]{{1,5}})"
+    r"|\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?(?:[0-9]{3}[ .-]?[0-9]{3,4}|[0-9]{5,8})(?!\p{N})|"
+)
 #: Types in order of precedence, with the pattern of a whole entity. Cheap tests stand before costly ones: a pattern is
 #: tried at every position of a text.
 PATTERNS = {
@@ -28,7 +37,7 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?(?:[0-9]{3}[ .-]?[0-9]{3,4}|[0-9]{5,8})(?!\p{N})|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?!\p{N})|(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
+    "phone": INTERNATIONAL + r"(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
     "female": r"(?=\p{Lu})(?<= )(?<=(?:Mrs|Ms)\.? |Miss |Frau |Mme |Madame |Señora |Sra\. |г-жа |госпожа )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
     "male": r"(?=\p{Lu})(?<= )(?<=Mr\.? |Herr |Herrn |Monsieur |Señor |Sr\. |г-н |господин )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }

@@ -159,6 +159,18 @@ def test_entities_are_replaced_and_nothing_else(spark):
     assert replace_entities(frame.limit(0), key="k").collect() == []
 
 
+PHONES = ["+33 1 23 45 67 89", "+7 (495) 123-45-67", "+33 (0)1 23 45 67 89", "+34 (91) 123 45 67", "+49 30 12 34 56 78", "+4930123456789", "+1 (017) 555-7713", "+9-017-555-7713"]
+
+
+@pytest.mark.parametrize("after", [" now", ".", " 1.2.3 4.0"])
+def test_phone_numbers_of_any_grouping_are_whole(spark, after):
+    frame = spark.createDataFrame([(i, f"call {p}{after}") for i, p in enumerate(PHONES)], "doc_id long, text string")
+    for r in replace_entities(frame, key="k").collect():
+        new = r.text.removeprefix("call ").removesuffix(after)
+        assert len(r.entities) == 1 and r.entities[0].kind == "phone" and r.entities[0].surrogate == new != PHONES[r.doc_id]
+        assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", PHONES[r.doc_id])
+
+
 def test_surrogates_stay_distinct(spark):
     """Ten thousand names and addresses from small spaces collide in the first round and part in later ones."""
     values = [("male", f"name{i}") for i in range(6000)] + [("ip", f"10.0.{i // 256}.{i % 256}") for i in range(4000)]
