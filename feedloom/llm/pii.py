@@ -31,8 +31,8 @@ INTERNATIONAL = (
 #: tried at every position of a text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "assigned": r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey) ?[=:] ?[\"'])[^\"'\n]{6,200}(?=[\"'])|(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,100})(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    "assigned": r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey)[\"']? ?[=:] ?[\"'])[^\"'\n]{6,}+(?=[\"'])|(?<![\p{L}\p{N}])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{N}.])(?:\p{N}{1,3}\.){3}\p{N}{1,3}(?!\.?\p{N})",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])",

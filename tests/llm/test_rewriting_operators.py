@@ -171,6 +171,16 @@ def test_phone_numbers_of_any_grouping_are_whole(spark, after):
         assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", PHONES[r.doc_id])
 
 
+def test_secrets_of_any_length(spark):
+    long = "aB3_" * 75
+    secrets = {f'token = "{long}"': long, f"key sk-{long} end": f"sk-{long}", f"hash {'0a1b' * 64} end": "0a1b" * 64, '{"password": "hunter22"}': "hunter22", "{'api_key':'hunter22'}": "hunter22"}
+    frame = spark.createDataFrame(list(enumerate(secrets)), "doc_id long, text string")
+    for r in replace_entities(frame, key="k").collect():
+        text, secret = list(secrets.items())[r.doc_id]
+        assert len(r.entities) == 1 and secret not in r.text
+        assert r.text == text.replace(secret, r.entities[0].surrogate) and len(r.entities[0].surrogate) == len(secret)
+
+
 def test_surrogates_stay_distinct(spark):
     """Ten thousand names and addresses from small spaces collide in the first round and part in later ones."""
     values = [("male", f"name{i}") for i in range(6000)] + [("ip", f"10.0.{i // 256}.{i % 256}") for i in range(4000)]
