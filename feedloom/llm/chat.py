@@ -17,6 +17,8 @@ OPEN, CLOSE = "<|turn|>", "<|end|>"
 #: Replaced in this order, restored in the reverse order.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
 TRAINED = "assistant"
+#: Column of a log that tells messages of one turn apart.
+PART = "_part_of_turn"
 
 
 def escape(text: Column) -> Column:
@@ -45,14 +47,16 @@ def fold(events: DataFrame) -> DataFrame:
     Of a message's events in order of seq, those from the last ``edit`` or ``regenerate`` on count: the edit's text or
     nothing, and the deltas after it. Its role is the last one given. Null text adds nothing, an unknown or null kind is a
     delta. Events with equal seq are ordered by kind, role and text; an event that repeats another in every column is
-    folded as often as it stands there. A null conv_id or turn is a value of its own.
+    folded as often as it stands there. A null conv_id or turn is a value of its own. A log may have the column
+    ``PART``: events of one turn that differ by it are messages of their own.
     """
-    log = events.select("conv_id", "turn", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    message = ["conv_id", "turn", *(c for c in events.columns if c == PART)]
+    log = events.select(*message, "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     starts = F.col("kind").isin("edit", "regenerate")
     order = F.struct("seq", "kind", "role", "text")
     last = F.max(F.when(starts, order))
     # The start is found by an aggregate; only what follows it is gathered.
-    marked = log.groupBy("conv_id", "turn").agg(
+    marked = log.groupBy(*message).agg(
         last.alias("start"), F.max_by("role", F.when(F.col("role").isNotNull(), order)).alias("final_role"), F.collect_list(F.when(~starts, order)).alias("deltas")
     )
     after = F.when(F.col("start").isNull(), F.col("deltas")).otherwise(F.filter("deltas", lambda d: d > F.col("start")))
@@ -99,8 +103,13 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished conversations: each row is one delta. Rows that repeat a turn follow each other in it."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("delta").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    """The log of finished conversations: each row is one delta.
+
+    Rows of one turn and role follow each other in it by text; rows of one turn with different roles, null being one, are
+    turns of their own.
+    """
+    part = F.coalesce("role", F.lit("")).alias(PART)
+    return conversations.select("conv_id", part, F.col("turn").alias("seq"), "turn", F.lit("delta").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -58,6 +58,15 @@ def test_formatted_text_reads_back(spark):
     assert chat.digest(chat.format_conversations(chat.events_of(frame.limit(0)))).collect() == []
 
 
+def test_tied_roles_are_turns_of_their_own(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "user", "b"), (1, 1, "assistant", "a"), (1, 1, None, "n"), (2, None, "user", "x"), (2, None, "assistant", "y"), (3, 0, "user", "2"), (3, 0, "user", "1")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.digest(chat.format_conversations(chat.events_of(frame))).collect()}
+    assert {c: (r.n_turns, r.loss_chars) for c, r in got.items()} == {1: (4, 1), 2: (2, 1), 3: (1, 0)}
+    assert got[1].turns_sha256 == sha("user\nq\n\nn\nassistant\na\nuser\nb\n") and got[1].loss_sha256 == sha("a")
+    assert got[2].turns_sha256 == sha("assistant\ny\nuser\nx\n") and got[3].turns_sha256 == sha("user\n12\n")
+
+
 def test_chat_and_surrogates_plan_no_python(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     docs = spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")
