@@ -162,6 +162,23 @@ def test_only_copies_of_one_label_count_once(spark):
     assert sorted(scorer.index.ids.tolist()) == [*range(60), 100, 102]
 
 
+def rare_words(spark, each, n=1500):
+    """Toxic examples hold one of many words, each in ``each`` of n; unlabelled documents, 60 toxic and 60 clean ones."""
+    rng = np.random.default_rng(4)
+    plain = ["p" + "".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    foul = [chr(97 + i // 26) + chr(97 + i % 26) + "zq" + "".join(rng.choice(list("abcdefgh"), 4)) for i in range(-(-n // each))]
+    text = lambda i, bad: " ".join([*rng.choice(plain, 20), *([foul[i % len(foul)]] if bad else [])])
+    rows = [(i, text(i // 2, i % 2), i % 2) for i in range(2 * n)] + [(10_000 + i, text(i // 2, i % 2), None) for i in range(120)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = {r.doc_id - 10_000: r.predicted for r in toxicity(documents, documents.select("doc_id", "toxic"), held_out=(1, 9)).where("doc_id >= 10000").collect()}
+    return sum(p for i, p in found.items() if i % 2), sum(p for i, p in found.items() if not i % 2)
+
+
+def test_toxic_words_that_are_rare_each(spark):
+    """Each in 25 of 1500 toxic examples and in no clean one."""
+    assert rare_words(spark, 25) == (60, 0)
+
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 URLS = {
     "http://a.example.net/en/1?x=/de/": ("a.example.net", "/en/1", "example.net/en/"),
