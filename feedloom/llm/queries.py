@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from catalog.registry import prepare
 from feedloom.llm.bpe import Vocabulary, round_trip
 from feedloom.llm.chat import CLOSE, OPEN, digest, events_of, format_conversations
+from feedloom.llm.codes import ENTRIES, PARTS, ROUNDS, SCALE, compress
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.language import identify_languages
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.mixing import mix_rows
 from feedloom.llm.pii import replace_entities
 from feedloom.llm.quality import quality
+from feedloom.llm.subwords import classify_quality
 from feedloom.llm.toxicity import toxicity
 from feedloom.llm.urls import filter_urls
+from feedloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +144,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _codes_sql() -> str:
+    """Every round as a pair of tables: the nearest entry of each part, and the entries moved to their parts' means."""
+    nearest = """
+), near{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, d * {entries} + e) AS e, min(d) AS d
+  FROM (SELECT a.r, a.p, c.e, sum((a.x - c.x) * (a.x - c.x))::HUGEINT AS d FROM cells a JOIN book{k} c ON a.p = c.p AND a.i = c.i GROUP BY 1, 2, 3) t GROUP BY 1, 2"""
+    moved = """
+), book{n} AS MATERIALIZED (
+  SELECT b.p, b.e, b.i, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT n.p, n.e, a.i, ((sum(a.x) - ((sum(a.x) % count(*)) + count(*)) % count(*)) // count(*))::HUGEINT AS x
+    FROM near{k} n JOIN cells a ON a.r = n.r AND a.p = n.p GROUP BY 1, 2, 3) m ON m.p = b.p AND m.e = b.e AND m.i = b.i"""
+    rounds = "".join(nearest.format(k=k, entries=ENTRIES) + moved.format(k=k, n=k + 1) for k in range(ROUNDS)) + nearest.format(k=ROUNDS, entries=ENTRIES)
+    return f"""
+WITH used AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor({SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cells AS MATERIALIZED (
+  SELECT r, j // (len(v) // {PARTS}) AS p, j % (len(v) // {PARTS}) AS i, v[j + 1]::HUGEINT AS x FROM (SELECT r, v, unnest(range(len(v))) AS j FROM used) t
+), book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, i, x FROM cells WHERE r <= {ENTRIES}{rounds}
+), digest AS (
+  SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM book{ROUNDS}
+), coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{ROUNDS} GROUP BY 1
+)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM used JOIN coded USING (r) CROSS JOIN digest
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
