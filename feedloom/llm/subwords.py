@@ -20,7 +20,7 @@ from feedloom.llm.common import in_share, pieces, store, text_buffer
 from feedloom.llm.hashing import mix, words
 
 #: Feature buckets as a power of two, and the length of their vectors.
-BITS, SIZE = 16, 16
+BITS, SIZE = 15, 16
 #: Character n-grams, a word having a byte in front and one behind.
 GRAMS = range(3, 6)
 #: Steps of training, one example each, whatever the size of the sample; and the first rate.
@@ -151,7 +151,12 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ste
     return vectors @ (output[1] - output[0])
 
 
-def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), max_examples: int = 2000, **training) -> Model | None:
+def _runs(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, as views of its numbers."""
+    return np.split(np.asarray(column.flatten()), np.cumsum(column.value_lengths().to_numpy())[:-1])
+
+
+def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), max_examples: int = 1500, **training) -> Model | None:
     """The model of (doc_id, text) and (doc_id, label). None if the examples hold fewer than two labels.
 
     At most ``max_examples`` of each label are drawn by a hash of the id. Their features, at most one number per bucket and
@@ -167,10 +172,14 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     sample = store(drawn[0].unionByName(drawn[1]), "examples")
     # At most 2 * max_examples rows of two numbers. An id that stands on several rows gives one text.
     texts = documents.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(_counted, "doc_id long, label int, buckets array<int>, counts array<int>").orderBy("doc_id").toArrow().combine_chunks()
-    buckets, counts = rows["buckets"].to_pylist(), rows["counts"].to_pylist()
-    examples = [(np.array(b, np.int64), np.array(c, float)) for b, c in zip(buckets, counts)]
-    weight = train(examples, np.asarray(rows["label"]).astype(np.int64), **training)
+    rows = texts.mapInArrow(_counted, "doc_id long, label int, buckets array<int>, counts array<int>").toArrow()
+    examples = [
+        example
+        for batch in rows.to_batches()
+        for example in zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), *(_runs(batch[c]) for c in ("buckets", "counts")))
+    ]
+    examples.sort(key=lambda e: e[0])
+    weight = train([e[2:] for e in examples], np.array([e[1] for e in examples], np.int64), **training)
     # Training gives both labels the same weight; how frequent they are comes in here.
     return Model(weight, float(np.log(sizes[1] / sizes[0])))
 

@@ -81,7 +81,7 @@ def test_planted_and_only_from_rows_that_teach(spark):
     rows = planted(400, 2)
     docs = spark.createDataFrame([r[:2] for r in rows], KIND).selectExpr("*", "'x' AS label", "1 AS score", "2 AS quality")
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], LABELS)
-    got = {r.doc_id: r for r in classify_quality(docs, labels).collect()}
+    got = {r.doc_id: r for r in classify_quality(docs, labels, steps=8000).collect()}
     held = [(i, q) for i, _, q in rows if got[i].held_out]
     assert len(held) > 40 and {i for i, _ in held} == {r.doc_id for r in docs.where(in_share(F.col("doc_id"), 5, 0)).collect()}
     assert all(got[i].predicted == q for i, q in held if i % 8 != 4)
@@ -90,7 +90,7 @@ def test_planted_and_only_from_rows_that_teach(spark):
     assert len(same) >= 8 and sum(same) <= len(same) // 8
     # Labels of held-out rows change nothing.
     turned = labels.withColumn("quality", F.when(in_share(F.col("doc_id"), 5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert {r.doc_id: r.score for r in classify_quality(docs, turned).collect()} == {i: r.score for i, r in got.items()}
+    assert {r.doc_id: r.score for r in classify_quality(docs, turned, steps=8000).collect()} == {i: r.score for i, r in got.items()}
 
 
 def test_held_out_accuracy(spark):
@@ -111,7 +111,7 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame([r[:2] for r in rows] + [(None, None), (None, "text"), (900, ""), (901, long), (1, "again another text"), (902, "same"), (902, "same")], KIND)
     odd = [(None, 1), (2, None), (3, 7), (5, 0), (5, 1), (901, 1), (7777, 0)]
     labels = spark.createDataFrame([(i, q) for i, _, q in rows] + odd, LABELS)
-    got = classify_quality(docs, labels).collect()
+    got = classify_quality(docs, labels, steps=500).collect()
     assert len(got) == 87 and all(r.score is not None and 0 <= r.score <= 1 for r in got)
     same = [r for r in got if r.doc_id == 902]
     assert len(same) == 2 and same[0] == same[1] and not any(r.held_out for r in got if r.doc_id is None)
@@ -125,5 +125,5 @@ def test_sample_is_bounded_and_shares_come_back(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], KIND)
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, label int")
     teach = [q for i, _, q in rows if i in {r.doc_id for r in docs.where(~in_share(F.col("doc_id"), 5, 0)).collect()}]
-    model = learn(docs, labels, max_examples=20)
+    model = learn(docs, labels, max_examples=20, steps=100)
     assert model.offset == pytest.approx(np.log(sum(teach) / (len(teach) - sum(teach))))
