@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 ROOT = str(Path(__file__).resolve().parent.parent)
 DIGITS = 6
+#: Settings a session may choose itself: batches to Python workers are bounded by bytes, whatever the length of texts.
+UNLESS_SET = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,6 +25,9 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in UNLESS_SET.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def rounded(df: DataFrame) -> DataFrame:
