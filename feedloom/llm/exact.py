@@ -21,23 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.bloom import maybe_in, might_be
-from feedloom.llm.common import fresh, picked, store
+from feedloom.llm.common import fresh, picked, pieces, store, text_buffer
 
 FINGERPRINT_BITS, RUN = 48, 1 << 14
 _FILTER = "quotient long, remainders binary, counts binary"
 
 
-def _digests(batch: pa.RecordBatch) -> tuple[list[bytes], list[bytes], list[int]]:
-    """Normalised texts, their SHA-256 and fingerprints."""
-    texts = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
-    shas = [hashlib.sha256(t).digest() for t in texts]
-    return texts, shas, [int.from_bytes(s[: FINGERPRINT_BITS // 8], "big") for s in shas]
+def _normalised(column: pa.Array) -> Iterator[bytes]:
+    """Each text in UTF-8 with A-Z in lower case; a null text is empty."""
+    data, offsets = text_buffer(column)
+    raw = data.tobytes().lower()
+    return (raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+
+
+def _fingerprint(sha: bytes) -> int:
+    return int.from_bytes(sha[: FINGERPRINT_BITS // 8], "big")
+
+
+def _digests(column: pa.Array) -> list[pa.Array]:
+    """Fingerprints and SHA-256 of the normalised texts."""
+    shas = [hashlib.sha256(t).digest() for t in _normalised(column)]
+    return [pa.array(map(_fingerprint, shas), pa.int64()), pa.array(shas, pa.binary())]
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, shas, prints = _digests(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(shas, pa.binary())], ["doc_id", "fingerprint", "sha"])
+        for part in pieces(batch):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_digests(part.column("text"))], ["doc_id", "fingerprint", "sha"])
 
 
 def merge_runs(remainders: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,10 +62,18 @@ def _partition_filter(quotient_bits: int):
     shift = FINGERPRINT_BITS - quotient_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        prints, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return merge_runs(np.concatenate([prints, *waiting]), np.concatenate([counts, np.ones(size, np.int64)]))
+
         for batch in batches:
-            new = np.asarray(batch.column("fingerprint"))
-            prints, counts = merge_runs(np.concatenate([prints, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+            waiting.append(np.asarray(batch.column("fingerprint")))
+            size += batch.num_rows
+            if size > len(prints) + 10_000:  # as much again as is sorted already
+                prints, counts = merged()
+                waiting, size = [], 0
+        prints, counts = merged()
         quotients, remainders = prints >> shift, prints & ((1 << shift) - 1)
         starts = np.flatnonzero(np.concatenate([[True], quotients[1:] != quotients[:-1]])) if len(quotients) else []
         runs = list(zip(starts, [*starts[1:], len(quotients)]))
@@ -93,10 +111,14 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies that lie in one batch become one row, so that a hot text is shuffled once per batch."""
     for batch in batches:
         seen: dict[bytes, list] = {}
-        for text, sha, fingerprint, doc_id in zip(*_digests(batch), batch.column("doc_id").to_pylist()):
-            row = seen.setdefault(text, [fingerprint, sha, None, 0])
-            row[2] = doc_id if row[2] is None or (doc_id is not None and doc_id > row[2]) else row[2]
-            row[3] += 1
+        for part in pieces(batch):
+            for text, doc_id in zip(_normalised(part.column("text")), part.column("doc_id").to_pylist()):
+                row = seen.get(text)
+                if row is None:
+                    sha = hashlib.sha256(text).digest()
+                    row = seen[text] = [_fingerprint(sha), sha, None, 0]
+                row[2] = doc_id if row[2] is None or (doc_id is not None and doc_id > row[2]) else row[2]
+                row[3] += 1
         columns = list(zip(*seen.values())) or [[]] * 4
         kinds = pa.int64(), pa.binary(), pa.int64(), pa.int64()
         yield pa.RecordBatch.from_arrays(
@@ -106,8 +128,9 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digested(text: pa.Array) -> pa.Array:
     """Struct (fingerprint, sha) of each text."""
-    _, shas, prints = _digests(pa.RecordBatch.from_arrays([text], ["text"]))
-    return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(shas, pa.binary())], ["fingerprint", "sha"])
+    batch = pa.RecordBatch.from_arrays([text.cast(pa.large_string())], ["text"])
+    made = [pa.StructArray.from_arrays(_digests(part.column("text")), ["fingerprint", "sha"]) for part in pieces(batch)]
+    return pa.concat_arrays(made) if made else pa.StructArray.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["fingerprint", "sha"])
 
 
 def _groups(docs: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
