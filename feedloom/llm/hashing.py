@@ -18,6 +18,8 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Bytes that are hashed at a time, cut between words; the tables of powers that a worker keeps are as long.
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,11 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0]) < n:
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    up, down = np.full(n, _BASE), np.full(n, _INVERSE)
+    up[0] = down[0] = 1
+    made = np.cumprod(up), np.cumprod(down)
+    if n <= CHUNK:
+        _powers = made
+    return made
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -52,17 +57,44 @@ class Words:
     hash: np.ndarray
 
 
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Ends of runs of about ``CHUNK`` bytes, each at a space or the end of a text; a longer word stays whole."""
+    n, cuts = len(data), []
+    at = CHUNK
+    while at < n:
+        own = int(offsets[min(np.searchsorted(offsets, at), len(offsets) - 1)])
+        stop, step = at, 1 << 12
+        while stop < own and not _SPACE[data[stop : stop + step]].any():
+            stop += step
+        found = np.flatnonzero(_SPACE[data[stop : stop + step]])
+        at = min(stop + int(found[0]) if stop < own and len(found) else own, own)
+        cuts.append(at)
+        at += CHUNK
+    return [*(c for c in cuts if c < n), n]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    n = len(data)
-    if not n:
+    if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
+    made, at = [], 0
+    for stop in _cuts(data, offsets):
+        edge = offsets[(offsets > at) & (offsets < stop)] - at
+        start, end, value = _words_of(data[at:stop], edge)
+        made.append((start + at, end + at, value))
+        at = stop
+    start, end, value = made[0] if len(made) == 1 else (np.concatenate(c) for c in zip(*made))
+    return Words(start, end, np.searchsorted(start, offsets), value)
+
+
+def _words_of(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word; words end with their text, at the places ``edge``."""
+    n = len(data)
     inside = ~_SPACE[data]
     opens, closes = inside.copy(), np.zeros(n + 1, dtype=bool)
     opens[1:] &= ~inside[:-1]
     closes[1:] = inside
     closes[1:n] &= ~inside[1:]
-    edge = offsets[(offsets > 0) & (offsets < n)]  # words end with their text
     opens[edge] |= inside[edge]
     closes[edge] |= inside[edge - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
@@ -70,7 +102,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up, out=sums[1:])
     value = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _BASE
-    return Words(start, end, np.searchsorted(start, offsets), mix(value))
+    return start, end, mix(value)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
