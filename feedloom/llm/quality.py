@@ -213,11 +213,13 @@ def quality(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def keep_good(documents: DataFrame, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that ``quality`` would keep, with their columns. Texts are measured twice, so nothing is shuffled or joined by id."""
-    text = F.col(f"`{text_column}`")
-    model = learn(F.col("m"), documents.select(measures(text).alias("m")))
+    """The rows that ``quality`` would keep, with their columns.
+
+    The rows are stored together with their measures, so texts are measured once and nothing is shuffled or joined by id.
+    """
     own = fresh(documents.columns, "measures")
     m = F.col(own)
-    judged = documents.withColumn(own, measures(text))
+    judged = store(documents.withColumn(own, measures(F.col(f"`{text_column}`"))), "measured")
+    model = learn(m, judged)
     return judged.where(~base_failed(m) & (probability(m, model) >= threshold)).drop(own)
 
