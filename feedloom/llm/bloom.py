@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import fresh
-
 #: Power of two of the bits of the largest filter that is sent to tasks: 32 MB.
 MAX_BITS = 28
 
@@ -22,7 +20,8 @@ def might_be(column: str, wanted: DataFrame) -> Column:
     bits = 1 << min(MAX_BITS, max(12, (16 * wanted.count()).bit_length()))
 
     def places(c: str) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.col(c), F.lit(i)), F.lit(bits)) for i in range(2)]
+        # As long: the hash of a number depends on its type.
+        return [F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(i)), F.lit(bits)) for i in range(2)]
 
     cells = (
         wanted.select(F.explode(F.array(*places(f"`{wanted.columns[0]}`"))).alias("at"))
@@ -43,11 +42,3 @@ def might_be(column: str, wanted: DataFrame) -> Column:
 def maybe_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """The rows whose value may be among those of ``wanted``."""
     return df.where(might_be(column, wanted))
-
-
-def without(df: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
-    """The rows whose value is not among those of ``unwanted``; null stays. Only what the filter suspects is joined."""
-    suspect = might_be(column, unwanted)
-    other = fresh(df.columns, "unwanted")
-    checked = df.where(suspect).join(unwanted.toDF(other), F.col(column) == F.col(other), "left_anti")
-    return df.where(~suspect).unionByName(checked)

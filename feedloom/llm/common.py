@@ -35,8 +35,10 @@ def store_bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
 
 
 def picked(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the columns an operator works on, under its own names, so that other columns never clash."""
-    return df.select(*[F.col(f"`{source}`").alias(own) for own, source in columns.items()])
+    """Only the columns an operator works on, under its own names and types, so that other columns never clash."""
+    kinds = {"doc_id": "long", "text": "string"}
+    found = {own: F.col(f"`{source}`") for own, source in columns.items()}
+    return df.select(*[(c.cast(kinds[own]) if own in kinds else c).alias(own) for own, c in found.items()])
 
 
 def fresh(columns: Iterable[str], name: str) -> str:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.bloom import maybe_in, without
-from feedloom.llm.common import picked, pieces, store, text_buffer
+from feedloom.llm.bloom import maybe_in, might_be
+from feedloom.llm.common import fresh, picked, pieces, store, text_buffer
 from feedloom.llm.components import components
 from feedloom.llm.hashing import lower_ascii, mix, windows, words
 
@@ -36,7 +36,7 @@ _RNG = np.random.default_rng(20240229)
 _SCALE = _RNG.integers(0, 1 << 31, LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFT = _RNG.integers(0, 1 << 32, LONG, dtype=np.uint32)
 _BAND = _RNG.integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "doc_id long, n long, k1 long, k2 long, planes array<long>, bands array<long>"
+_SCHEMA = "doc_id long, content long, n long, k1 long, k2 long, planes array<long>, bands array<long>"
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -78,10 +78,10 @@ def _sign(width: int):
         known: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             for part in pieces(batch):
-                ids, rows = part.column("doc_id").to_pylist(), []
-                for doc_id, shingles in zip(ids, shingle_sets(part.column("text"), width)):
+                rows = []
+                for shingles in shingle_sets(part.column("text"), width):
                     if not len(shingles):
-                        rows.append((doc_id, 0, 0, 0, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     key = int(mix(shingles).sum(dtype=np.uint64).view(np.int64)), int(mix(shingles ^ _BAND[0, 0]).sum(dtype=np.uint64).view(np.int64))
                     made = known.get(key)
@@ -89,11 +89,11 @@ def _sign(width: int):
                         if len(known) >= 1000:  # only spares work on copies that lie together
                             known.clear()
                         made = known[key] = signature(minima(shingles))
-                    rows.append((doc_id, len(shingles), *key, *made))
+                    rows.append((len(shingles), *key, *made))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[4:])],
-                    ["doc_id", "n", "k1", "k2", "planes", "bands"],
+                    [part.column("doc_id"), part.column("content"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[3:])],
+                    ["doc_id", "content", "n", "k1", "k2", "planes", "bands"],
                 )
 
     return run
@@ -228,11 +228,17 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     Texts are compared after lower-casing A-Z; words are runs outside space and \\x09-\\x0D. Texts link when their shingle
     sets share at least ``percent`` hundredths of their union. component_id is the smallest id reachable over links, kept
     marks that row. Null and word-less texts have no shingles and stand alone. Rows that repeat an id with the same set are
-    one document. A row without an id takes the component of an equal set; if none has an id, component_id is null and the
-    row is kept. Other columns are not looked at. An empty table gives no rows.
+    one document; of rows that repeat an id with other texts, each links with what is like any of them. A row without an id
+    takes the component of an equal set; if none has an id, component_id is null and the row is kept. Other columns are not
+    looked at. An empty table gives no rows.
     """
+    return _judged(documents, width, percent, id_column, text_column).drop("content")
+
+
+def _judged(documents: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """Rows as ``near_duplicates`` gives them, with a hash of the text, which tells rows of one id apart."""
     docs = picked(documents, doc_id=id_column, text=text_column)
-    signed = store(docs.mapInArrow(_sign(width), _SCHEMA), "signatures")
+    signed = store(docs.withColumn("content", F.xxhash64("text")).mapInArrow(_sign(width), _SCHEMA), "signatures")
     classes = store(
         signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min("planes").alias("planes"), F.min("bands").alias("bands")).where("rep IS NOT NULL"),
         "classes",
@@ -272,14 +278,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     if not more.isEmpty():
         found = components(store(links.unionByName(more), "links"))
 
-    return (
-        signed.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
+    columns = "doc_id", "content", F.col("n").alias("n_shingles")
+    shingled = (
+        signed.where("n > 0").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
         .join(found, F.col("rep") == F.col("node"), "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        )
+        .select(*columns, F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    )
+    return (
+        shingled.unionByName(signed.where("n = 0").select(*columns, F.col("doc_id").alias("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
@@ -287,8 +293,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of one document of each group, the one with the smallest id, with their columns.
 
-    Rows without an id stay. Only rows that are dropped, and few others by chance, are shuffled.
+    Rows without an id stay; rows that repeat an id are judged by their own text. Only rows that are dropped, and few others
+    by chance, are shuffled.
     """
-    judged = near_duplicates(documents, width, percent, id_column, text_column)
-    dropped = store(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
-    return without(documents, id_column, dropped)
+    judged = _judged(documents, width, percent, id_column, text_column)
+    dropped = store(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "content").distinct(), "dropped")
+    suspect = might_be(f"`{id_column}`", dropped.select("doc_id"))
+    own, d_id, d_content = (fresh(documents.columns, n) for n in ("content", "d_id", "d_content"))
+    marked = documents.withColumn(own, F.xxhash64(F.col(f"`{text_column}`").cast("string")))
+    same = (F.col(f"`{id_column}`") == F.col(d_id)) & (F.col(own) == F.col(d_content))
+    checked = marked.where(suspect).join(dropped.toDF(d_id, d_content), same, "left_anti")
+    return marked.where(~suspect).unionByName(checked).drop(own)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import exact, minhash
-from feedloom.llm.bloom import maybe_in, without
+from feedloom.llm import hashing
+from feedloom.llm.bloom import maybe_in
 from feedloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, n long, rep string"
@@ -138,15 +139,9 @@ def test_equal_fingerprints_of_different_texts_part(spark, monkeypatch):
     rows = [(i, f"text {i % 300}") for i in range(600)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
-    def one_byte(batch):
-        texts = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
-        shas = [hashlib.sha256(t).digest() for t in texts]
-        return texts, shas, [s[0] for s in shas]
-
     # Workers import the module afresh, so the filter is tested by itself here.
-    import pyarrow as pa
-
-    texts, shas, prints = one_byte(pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"]))
+    prints = [exact._fingerprint(hashlib.sha256(t.encode()).digest()) for _, t in rows]
+    assert max(prints) < 256
     counted = {r.fingerprint: r.copies for r in exact.counting_filter(spark.createDataFrame([(p,) for p in prints], "fingerprint long").repartition(5), 600).collect()}
     assert counted == {p: prints.count(p) for p in set(prints)}
     monkeypatch.undo()
@@ -173,10 +168,50 @@ def test_bloom_filter_loses_nothing(spark):
     wanted = spark.range(0, 5000, 7)
     passed = {r.id for r in maybe_in(frame, "id", wanted).collect()}
     assert set(range(0, 5000, 7)) <= passed and len(passed) < 1200
-    assert {r.id for r in without(frame, "id", wanted).collect()} == set(range(5000)) - set(range(0, 5000, 7))
+    narrow = frame.select(F.col("id").cast("int"))
+    assert {r.id for r in maybe_in(narrow, "id", wanted).collect()} == passed and {r.id for r in maybe_in(frame, "id", wanted.select(F.col("id").cast("int"))).collect()} == passed
     assert maybe_in(frame, "id", wanted.limit(0)).count() == 0
 
 
 def test_no_plan_compares_all_pairs(spark):
     plan = minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_ids_of_other_number_types(spark):
+    rows = corpus()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast("int"))
+    got = minhash.near_duplicates(frame).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected_components(rows, 5)
+    want = {i for i, (_, c) in expected_components(rows, 5).items() if i == c}
+    kept = minhash.keep_one(frame)
+    assert {r.doc_id for r in kept.collect()} == want and kept.schema["doc_id"].dataType.simpleString() == "int"
+    best = {}
+    for i, t in rows:
+        key = (t or "").encode().lower()
+        best[key] = max(i, best.get(key, -1))
+    assert {r.doc_id for r in exact.keep_one(frame).collect()} == set(best.values())
+    assert all(r.keep_id == best[(t or "").encode().lower()] for r, (_, t) in zip(sorted(exact.exact_duplicates(frame).collect(), key=lambda r: r.doc_id), rows))
+
+
+def test_a_row_that_repeats_an_id_is_judged_by_its_own_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, " ".join(words)), (5, "something else that is said only once in here"), (6, "")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS content", "2 AS d_id"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2], rows[3]]) and kept.columns == ["doc_id", "text", "content", "d_id"]
+
+
+def test_words_do_not_depend_on_where_they_are_cut(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from feedloom.llm.common import text_buffer
+
+    rng = random.Random(8)
+    texts = ["", None, "x" * 500, " " * 300, *(" ".join("ab\ncé"[: rng.randint(1, 6)] * rng.randint(1, 30) for _ in range(rng.randint(0, 90))) for _ in range(40)), "tail"]
+    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    whole = hashing.words(data, offsets)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(hashing, "CHUNK", size)
+        cut = hashing.words(data, offsets)
+        assert all(np.array_equal(getattr(whole, n), getattr(cut, n)) for n in ("start", "end", "first", "hash"))
