@@ -103,13 +103,13 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of finished conversations: each row is one delta.
+    """The log of finished conversations: each row is one delta and a message of its own.
 
-    Rows of one turn and role follow each other in it by text; rows of one turn with different roles, null being one, are
-    turns of their own.
+    Rows that share a turn are told apart by their place in it, by role (null first) and text; equal rows stay repeated.
     """
-    part = F.coalesce("role", F.lit("")).alias(PART)
-    return conversations.select("conv_id", part, F.col("turn").alias("seq"), "turn", F.lit("delta").alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).alias(PART)
+    return rows.select("conv_id", part, F.col("turn").alias("seq"), "turn", F.lit("delta").alias("kind"), "role", "text")
 
 
 def digest(formatted: DataFrame) -> DataFrame:

@@ -95,12 +95,12 @@ _ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&lsq
 
 @query("op4_chat_format", f"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, string_agg(coalesce(text, ''), '' ORDER BY coalesce(text, '')) AS text FROM conversations GROUP BY 1, 2, 3
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum({len(OPEN) + len(CLOSE) + 1} + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """)
