@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import as_timestamp
 from feedloom.functions.numbers import in_rating_range, parse_number
 from feedloom.functions.text import clean_text, nonblank
+from feedloom.operators.distinct import distinct_rows
 from feedloom.operators.conform import conform, generated_id, tidy_categories
 from feedloom.vocab.columns import CLEAN_COLUMNS
 
@@ -20,11 +21,10 @@ COPIES = "_copies"
 def keep_first(df: DataFrame, order_by: str = ROW) -> DataFrame:
     """One row per distinct content, with the smallest row number and the number of copies seen.
 
-    The row content is the grouping key, so copies of a hot row collapse before the shuffle and no window has to
-    hold them together. Nulls compare equal.
+    Only rows whose fingerprint repeats are shuffled; they are grouped by their content, so copies of a hot row collapse
+    before the shuffle and no window has to hold them together. Nulls compare equal.
     """
-    content = [c for c in df.columns if c != order_by]
-    return df.groupBy(*content).agg(F.min(order_by).alias(order_by), F.count("*").alias(COPIES))
+    return distinct_rows(df, order_by, COPIES)
 
 
 def flag_rows(df: DataFrame, mapping: Mapping[str, str | None] | None = None, *, normalise: bool = True) -> DataFrame:

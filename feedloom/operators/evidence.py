@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.numbers import safe_float, safe_share, smoothed_growth, trend_direction
 from feedloom.operators.filters import pain_only
-from feedloom.operators.grouping import attach, null_safe, optional, sorted_distinct, top_per_group, window, with_group_value, without_keys
+from feedloom.operators.grouping import attach, null_safe, optional, top_per_group, window, with_group_value, with_lists, without_keys
 from feedloom.operators.metrics import summarize_themes
 from feedloom.operators.quality import quality_summary, required_columns
 from feedloom.operators.quotes import id_lists, representative_ids, request_ids, unique_quote_evidence
@@ -82,12 +82,13 @@ def sorted_json(df: DataFrame, names: Sequence[str]) -> Column:
 
 def theme_context(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per theme: sorted affected platforms and versions and the representative ids."""
-    none = F.array().cast("array<string>")
-    lists = df.filter(F.col("primary_theme").isNotNull()).groupBy(*by, F.col("primary_theme").alias("theme")).agg(
-        (sorted_distinct(F.col("platform")) if "platform" in df.columns else F.first(none)).alias("affected_platforms"),
-        (sorted_distinct(F.col("app_version")) if "app_version" in df.columns else F.first(none)).alias("affected_versions"),
+    keys = [*by, "theme"]
+    names = {"affected_platforms": "platform", "affected_versions": "app_version"}
+    rows = df.filter(F.col("primary_theme").isNotNull()).withColumn("theme", F.col("primary_theme"))
+    ids = id_lists(representative_ids(df, by), keys)  # one row for every theme
+    return with_lists(ids, rows, keys, {name: F.col(c) if c in df.columns else None for name, c in names.items()}).select(
+        *keys, *names, "representative_review_ids"
     )
-    return null_safe(lists, id_lists(representative_ids(df, by), [*by, "theme"]), [*by, "theme"])
 
 
 PAIN_FIELDS = (
@@ -156,14 +157,13 @@ REQUEST_FIELDS = (
 def request_insights(df: DataFrame, by: Sequence[str] = (), *, limit: int = 8) -> DataFrame:
     """Leading request groups with share of requests, confidence, growth, reach and example ids."""
     requests = df.filter(F.col("is_feature_request") & F.col("feature_request_group").isNotNull())
-    none = F.array().cast("array<string>")
-    groups = requests.groupBy(*by, "feature_request_group").agg(
+    keys = [*by, "feature_request_group"]
+    names = {"affected_platforms": "platform", "affected_segments": "user_segment"}
+    groups = requests.groupBy(*keys).agg(
         F.count("*").alias("request_count"),
         safe_float(F.avg(optional(df, "feature_request_confidence", data_type="double"))).alias("average_confidence"),
-        (sorted_distinct(F.col("platform")) if "platform" in df.columns else F.first(none)).alias("affected_platforms"),
-        (sorted_distinct(F.col("user_segment")) if "user_segment" in df.columns else F.first(none)).alias("affected_segments"),
     ).withColumn("_all", F.sum("request_count").over(window(by)))
-    keys = [*by, "feature_request_group"]
+    groups = with_lists(groups, requests, keys, {name: F.col(c) if c in df.columns else None for name, c in names.items()})
     if "date" in df.columns:
         groups = null_safe(groups, request_growth(df, by).select(*keys, "growth_rate"), keys)
     else:

@@ -194,12 +194,50 @@ def validate_reports(reports: DataFrame, evidence: DataFrame) -> DataFrame:
 
     ``reports`` and ``evidence`` have columns report_id and document. Every check reads the leaves, so they are stored.
     """
+    return _findings(reports, materialize(json_leaves(reports)), materialize(json_leaves(evidence)))
+
+
+def report_results(reports: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per report: is_valid, errors, warnings, and as sorted lists the cited ids that the evidence holds, those it
+    does not hold, and the measured numbers without evidence."""
     said, shown = materialize(json_leaves(reports)), materialize(json_leaves(evidence))
-    claims = said.filter(F.col("kind") == "string").select("report_id", "path", F.col("value").alias("text"))
+    found = _findings(reports, said, shown).groupBy("report_id").agg(
+        F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")
+    )
+    cited, available = _cited_ids(said), evidence_ids(shown)
+    numbers = unsupported_numbers(number_claims(_claims(said)), evidence_numbers(shown)).filter("severity = 'error'")
+    kinds = {"validated_review_ids": F.lit("validated"), "invalid_review_ids": F.lit("invalid"), "unsupported_metrics": F.lit("metric")}
+    values = reduce(DataFrame.unionByName, [
+        validated_ids(cited, available).select("report_id", kinds["validated_review_ids"].alias("kind"), F.col("review_id").alias("value")),
+        invalid_ids(cited, available).select("report_id", kinds["invalid_review_ids"].alias("kind"), F.col("review_id").alias("value")),
+        numbers.select("report_id", kinds["unsupported_metrics"].alias("kind"), F.col("claim").alias("value")).distinct(),
+    ])
+    # A report cites a few reviews; its lists are as long as its text allows.
+    lists = values.groupBy("report_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(name) for name, kind in kinds.items()
+    ])
+    none = F.array().cast("array<string>")
+    joined = reports.select("report_id").distinct().join(found, "report_id", "left").join(lists, "report_id", "left")
+    errors, warnings = (F.coalesce(c, F.lit(0)).alias(c) for c in ("errors", "warnings"))
+    return joined.select(
+        "report_id", (F.coalesce("errors", F.lit(0)) == 0).alias("is_valid"), errors, warnings, *[F.coalesce(c, none).alias(c) for c in kinds]
+    )
+
+
+def _claims(said: DataFrame) -> DataFrame:
+    return said.filter(F.col("kind") == "string").select("report_id", "path", F.col("value").alias("text"))
+
+
+def _cited_ids(said: DataFrame) -> DataFrame:
+    """Ids that a report refers to, in supporting lists and in its quotes."""
+    listed = _claims(said).filter(F.col("path").contains("supporting_review_ids[")).select("report_id", F.col("text").alias("review_id"))
+    return listed.unionByName(list_records(said, "evidence", "review_id", "quote").select("report_id", "review_id"))
+
+
+def _findings(reports: DataFrame, said: DataFrame, shown: DataFrame) -> DataFrame:
+    claims = _claims(said)
     references = list_records(said, "evidence", "review_id", "quote")
-    cited = claims.filter(F.col("path").contains("supporting_review_ids[")).select(
-        "report_id", F.col("text").alias("review_id")
-    ).unionByName(references.select("report_id", "review_id"))
+    cited = _cited_ids(said)
     sources = list_records(shown, "representative_quotes", "review_id", "review_text")
 
     def finding(df: DataFrame, severity: Column, path: Column, *message: Column | str) -> DataFrame:

@@ -5,7 +5,7 @@ Every summary operator takes ``by``: extra grouping columns. With none, the whol
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -63,11 +63,36 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(window(keys, *order))).filter(F.col(rank) <= k)
 
 
-def sorted_distinct(c: Column) -> Column:
-    """Aggregate: sorted distinct trimmed non-blank strings."""
+#: Values a list column holds at most; ``distinct_values`` has them all, as rows.
+LIST_LIMIT = 1000
+
+
+def distinct_values(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """Every distinct trimmed non-blank value of the named columns per group, one row each: keys, name, value, rows."""
     from feedloom.functions.text import blank_to_null
 
-    return F.array_sort(F.collect_set(blank_to_null(c)))
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), blank_to_null(c).alias("value")) for name, c in columns.items()]))
+    found = df.select(*keys, cells.alias("_cell")).select(*keys, "_cell.*").where(F.col("value").isNotNull())
+    return found.groupBy(*keys, "name", "value").agg(F.count("*").alias("rows"))
+
+
+def value_lists(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], *, limit: int = LIST_LIMIT) -> DataFrame:
+    """Per group the first ``limit`` distinct values of each named column in order, as arrays.
+
+    Values are rows until they are ranked, and every partition keeps ``limit`` of them, so a column of any number of values
+    never meets in one place. Groups without a value are left out; see ``with_lists``.
+    """
+    ranked = top_per_group(distinct_values(df, keys, columns), [*keys, "name"], [F.asc("value")], limit, "_rank")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("name") == name, F.col("value")))).alias(name) for name in columns]
+    return ranked.groupBy(*keys).agg(*lists)
+
+
+def with_lists(groups: DataFrame, df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column | None], *, limit: int = LIST_LIMIT) -> DataFrame:
+    """Add to one row per group the lists of ``value_lists``; empty where there is no value or no such column."""
+    none = F.array().cast("array<string>")
+    present = {name: c for name, c in columns.items() if c is not None}
+    joined = null_safe(groups, value_lists(df, keys, present, limit=limit), keys) if present else groups
+    return joined.withColumns({name: F.coalesce(F.col(name), none) if name in present else none for name in columns})
 
 
 def ids_in_rank_order(rank: str, value: str) -> Column:

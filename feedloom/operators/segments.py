@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import iso_date
@@ -55,17 +55,33 @@ def sentiment_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def rating_summary(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, exact median, star counts and low/high shares of the ratings within 1..5."""
+    """Mean, exact median, star counts and low/high shares of the ratings within 1..5.
+
+    All of them come from the counts per group and value. The median is where their running total passes half of all: of
+    the two middle rows one may be the last of a value and the other the first of the next. No group's values meet in memory.
+    """
     rating = F.col("rating").cast("double")
     valid = F.when(in_rating_range(rating), rating)
-    stars = F.bround(valid, 0)
+    counts = df.groupBy(*by, valid.alias("_value")).agg(F.count("*").alias("_n")).withColumn("_n", F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(0))
+    upto = F.sum("_n").over(window(by, F.asc("_value")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(window(by))})
+    lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    value, n = F.col("_value"), F.col("_n")
+    stars = F.bround(value, 0)
     names = ("one", "two", "three", "four", "five")
-    return df.groupBy(*by).agg(
-        safe_float(F.avg(valid)).alias("average_rating"),
-        safe_float(F.median(valid)).alias("median_rating"),
-        *[F.count_if(stars == i).alias(f"{n}_star_count") for i, n in enumerate(names, start=1)],
-        safe_share(F.count_if(valid.isin(1.0, 2.0)), F.count(valid)).alias("low_rating_share"),
-        safe_share(F.count_if(valid.isin(4.0, 5.0)), F.count(valid)).alias("high_rating_share"),
+
+    def at(place: Column) -> Column:
+        return F.min(F.when((F.col("_upto") >= place) & (n > 0), value))
+
+    def rows(flag: Column) -> Column:
+        return F.coalesce(F.sum(F.when(flag, n).otherwise(0)), F.lit(0))
+
+    return placed.groupBy(*by).agg(
+        safe_float(F.sum(value * n) / F.nullif(F.sum(n), F.lit(0))).alias("average_rating"),
+        safe_float((at(lower) + at(upper)) / 2).alias("median_rating"),
+        *[rows(stars == i).alias(f"{name}_star_count") for i, name in enumerate(names, start=1)],
+        safe_share(rows(value.isin(1.0, 2.0)), F.sum(n)).alias("low_rating_share"),
+        safe_share(rows(value.isin(4.0, 5.0)), F.sum(n)).alias("high_rating_share"),
     )
 
 

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import iso_date
-from feedloom.functions.text import blank_to_null
 from feedloom.operators.filters import pain_only
-from feedloom.operators.grouping import null_safe
+from feedloom.operators.grouping import with_lists
 
 # Source column -> heading, in display order.
 EXECUTIVE = {
@@ -87,12 +86,8 @@ def request_view(df: DataFrame, summary: DataFrame) -> DataFrame:
     requests = df.filter("is_feature_request")
     names = {"affected_platforms": "platform", "affected_user_segments": "user_segment"}
     lists = {n: c for n, c in names.items() if c in df.columns}
-    affected = requests.groupBy("feature_request_group").agg(*[
-        F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ", ").alias(n) for n, c in lists.items()
-    ]) if lists else requests.select("feature_request_group").distinct()
-    joined = null_safe(summary, affected, ["feature_request_group"]).withColumns({
-        n: F.coalesce(blank_to_null(F.col(n)), F.lit(NOT_AVAILABLE)) if n in lists else F.lit(NOT_AVAILABLE) for n in names
-    })
+    affected = with_lists(summary, requests, ["feature_request_group"], {n: F.col(c) if n in lists else None for n, c in names.items()})
+    joined = affected.withColumns({n: F.when(F.size(n) > 0, F.array_join(n, ", ")).otherwise(NOT_AVAILABLE) for n in names})
     return _present(joined, REQUESTS)
 
 

@@ -166,9 +166,14 @@ def test_report_findings(spark):
     found = grounding.validate_reports(docs, shown).collect()
     errors = {k: sorted(r["message"] for r in found if r["report_id"] == k and r["severity"] == "error") for k in cases}
     assert not errors["good"] and not errors["hedged"] and not errors["percent"] and not errors["vague"]
-    assert "causal" in errors["causal"][0] and "measured value '77%'" in errors["number"][0] and "business-impact" in errors["business"][0]
-    assert "not exact" in errors["quote"][0] and len(errors["id"]) == 2
-    assert [r["message"] for r in found if r["report_id"] == "vague"] == ["Ambiguous numeric value '55' in executive_summary."]
+    assert "Cause claimed" in errors["causal"][0] and "measured number '77%'" in errors["number"][0] and "Business effect" in errors["business"][0]
+    assert "differs from its source" in errors["quote"][0] and len(errors["id"]) == 2
+    assert [r["message"] for r in found if r["report_id"] == "vague"] == ["Number without evidence, not clearly measured: '55' in executive_summary."]
+    results = {r["report_id"]: r for r in grounding.report_results(docs, shown).collect()}
+    assert {k: r["is_valid"] for k, r in results.items()} == {k: not errors[k] for k in cases}
+    assert {k: r["errors"] for k, r in results.items()} == {k: len(errors[k]) for k in cases} and results["vague"]["warnings"] == 1
+    assert results["good"]["validated_review_ids"] == ["R1"] and results["good"]["invalid_review_ids"] == [] == results["good"]["unsupported_metrics"]
+    assert results["id"]["invalid_review_ids"] == ["R9"] and results["number"]["unsupported_metrics"] == ["77%"]
 
 
 def test_contract(spark):
