@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import clean_text
+from feedloom.sources.tables import read_table
 
 SENTENCES = (
     "My dinner came as a late delivery again and the rider never called",
@@ -54,7 +55,7 @@ DEVICES = {"Android": ["Pixel 8", "Galaxy A54"], "iOS": ["iPhone 15", "iPad Air"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def releases(spark: SparkSession) -> DataFrame:

@@ -183,6 +183,28 @@ def _(spark, sf_dir):
     return grounding.validate_reports(_reports(first.join(counts, "platform")), contexts)
 
 
+@query("report_results", FEEDBACK_CTES + """, per AS (SELECT coalesce(platform, 'no platform') AS report_id, min(review_id) AS id, count(*) AS n,
+  try_cast(regexp_extract(arg_min(original_text, review_id), 'ticket (\\d+)', 1) AS DOUBLE) AS ticket FROM feedback GROUP BY 1)""", """SELECT report_id, report_id <> 'Web' AS is_valid,
+  CASE WHEN report_id = 'Web' THEN 3 ELSE 0 END AS errors,
+  CASE WHEN least(abs(ticket - n), abs(ticket / 100 - n)) > greatest(0.011, n * 0.012) THEN 1 ELSE 0 END AS warnings, id AS validated, CASE WHEN report_id = 'Web' THEN 'EV-unknown' ELSE '' END AS invalid, CASE WHEN report_id = 'Web' THEN '93.7%' ELSE '' END AS unsupported FROM per""")
+def _(spark, sf_dir):
+    """One result per report: that of Web cites an unknown review, states a share nobody measured and names a cause.
+
+    The number of a ticket in a quote is a warning, as nothing in the evidence supports it.
+    """
+    rows = feedback(spark, sf_dir).withColumn("platform", F.coalesce("platform", F.lit("no platform"))).groupBy("platform").agg(
+        F.count("*").alias("n"), F.min("review_id").alias("id"), F.min_by("original_text", "review_id").alias("text")
+    )
+    rows = materialize(rows)
+    quote = F.struct(F.col("id").alias("review_id"), F.col("text").alias("review_text"))
+    shown = rows.select(F.col("platform").alias("report_id"), F.to_json(F.struct(F.array(quote).alias("representative_quotes"), F.col("n").alias("total"))).alias("document"))
+    found = grounding.report_results(_reports(rows), shown)
+    return found.select(
+        "report_id", "is_valid", F.col("errors").cast("int"), F.col("warnings").cast("int"), F.array_join("validated_review_ids", "|").alias("validated"),
+        F.array_join("invalid_review_ids", "|").alias("invalid"), F.array_join("unsupported_metrics", "|").alias("unsupported"),
+    )
+
+
 @query("contract_violations", FEEDBACK_CTES, """SELECT 'Web' AS report_id, 'recommended_actions[0].confidence' AS path, 'not an allowed value' AS rule FROM feedback WHERE platform = 'Web' LIMIT 1""")
 def _(spark, sf_dir):
     rows = feedback(spark, sf_dir).withColumn("platform", F.coalesce("platform", F.lit("no platform"))).groupBy("platform").agg(

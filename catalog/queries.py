@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,17 @@ from catalog.fixture import DEVICES, FEEDBACK_CTES, RAW_CTES, feedback, raw_feed
 from catalog.fixture import RELEASES
 from catalog.registry import query
 from feedloom.functions.text import clean_text
-from feedloom.operators import evidence, metrics, quality, quotes, segments, trends, views
+from feedloom.operators import distinct, evidence, metrics, quality, quotes, segments, trends, views
 from feedloom.operators import releases as rel
 from feedloom.operators.cleaning import keep_first
 from feedloom.operators.conform import conform, number_rows
 from feedloom.operators.filters import apply_filters, date_bounds, filter_options
+from feedloom.operators.grouping import attach, null_safe
 from feedloom.operators.signals import STAGES, enrich
 from feedloom.operators.themes import add_theme_signals, match_rules
+from feedloom.plans.incremental import CubeTables
 from feedloom.plans.ingest import ingest
-from feedloom.session import materialize
+from feedloom.session import materialize, shared_folder
 from feedloom.vocab import ThemeRules
 from feedloom.vocab.themes import CRITICAL_TERMS, RISK_SCORE, THEME_RISK
 
@@ -88,6 +92,13 @@ def _(spark, sf_dir):
     return ingest(raw_feedback(spark, sf_dir), order_by="pos").report
 
 
+@query("quality_summary", NUMBERED_CTES, """SELECT CAST(sum(copies - 1) AS BIGINT) AS duplicates_removed, count(*) FILTER (NOT blank AND trim(created_at) <> '' AND d IS NULL) AS invalid_dates,
+  count(*) FILTER (NOT blank AND trim(score) <> '' AND r IS NULL) AS invalid_ratings, count(*) FILTER (blank) AS blank_reviews, CAST(NULL AS BIGINT) AS missing_optional_values, CAST(0 AS BIGINT) AS notes FROM typed""")
+def _(spark, sf_dir):
+    summary = quality.quality_summary(ingest(raw_feedback(spark, sf_dir), order_by="pos").report)
+    return summary.withColumn("notes", F.size("notes").cast("long"))
+
+
 @query("validation_report", RAW_CTES, """SELECT count(*) AS row_count, CAST(8 AS BIGINT) AS column_count,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT id, content, created_at, score, source, version, region, segment FROM raw_feedback)) AS duplicate_row_count,
   count(*) FILTER (trim(content) <> '') - count(DISTINCT nullif(trim(content), '')) AS duplicate_text_count,
@@ -210,6 +221,15 @@ REQUEST_COLUMNS = ("is_feature_request", "feature_request_detected", "feature_re
                    "feature_request_group", "feature_request_method", "feature_request_matched_terms", "feature_request_score")
 
 
+@query("request_detection_wide_letters", ANALYZED_CTES, f"SELECT review_id, {', '.join(REQUEST_COLUMNS)} FROM analyzed", "feature_request_confidence|feature_request_score")
+def _(spark, sf_dir):
+    """The same texts in full-width letters: normalisation brings back the plain ones."""
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
+    rows = feedback(spark, sf_dir).withColumn("clean_text", F.translate("clean_text", plain, wide))
+    return enrich(rows, ["requests"], normalise=True).select("review_id", *REQUEST_COLUMNS)
+
+
 @query("request_detection", ANALYZED_CTES, f"SELECT review_id, {', '.join(REQUEST_COLUMNS)} FROM analyzed", "feature_request_confidence|feature_request_score")
 def _(spark, sf_dir):
     return analyzed(spark, sf_dir, "requests").select("review_id", *REQUEST_COLUMNS)
@@ -326,7 +346,10 @@ def _(spark, sf_dir):
     return metrics.in_priority_order(_summary(spark, sf_dir)).select(*SUMMARY_COLUMNS)
 
 
-@query("theme_explanations")
+@query("theme_explanations", SUMMARY_CTES, """SELECT theme, printf('Severity combines negative sentiment (%.1f), rating impact (%.1f), frequency (%.1f), trend (%.1f), and critical terms (%.1f).',
+    negative_component, rating_component, frequency_component, trend_component, critical_keyword_component) AS severity_explanation,
+  printf('Priority combines frequency (%.1f), severity (%.1f), trend (%.1f), business risk (%.1f), and confidence (%.1f)', frequency_component, severity_score, trend_component,
+    business_risk_component, confidence_component) || CASE WHEN rare THEN ' with a rare-critical safeguard.' ELSE '.' END AS priority_explanation FROM summary""")
 def _(spark, sf_dir):
     return _summary(spark, sf_dir).select("theme", "severity_explanation", "priority_explanation")
 
@@ -360,8 +383,6 @@ def _(spark, sf_dir):
     rows = stored(spark, sf_dir)
     requests = metrics.request_summary(rows).withColumn("request_confidence", F.round("request_confidence", 9))
     pain = metrics.top_pain_point(metrics.summarize_themes(rows))
-    from feedloom.operators.grouping import attach
-
     return attach(pain, metrics.leading_groups(requests), ()).select(
         F.col("theme").alias("top_pain"), "frequency", "priority_label", "most_requested", "highest_confidence"
     )
@@ -441,6 +462,54 @@ def _(spark, sf_dir):
     return trends.adaptive_volume(_order_volume(spark, sf_dir))
 
 
+@query("event_adaptive_volume", SUMMARY_CTES, "SELECT 'Daily' AS aggregation, day AS period, count(*) AS feedback_count FROM dated GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Few enough days are covered to show each of them."""
+    return trends.adaptive_volume(_volume(spark, sf_dir))
+
+
+@query("short_coverage_trends", SUMMARY_CTES, """SELECT primary_theme AS theme, CAST(0 AS BIGINT) AS recent_count, CAST(0 AS BIGINT) AS previous_count, CAST(0 AS DOUBLE) AS growth_rate, CAST(50 AS DOUBLE) AS trend_score,
+  CAST(0 AS DOUBLE) AS issue_velocity, date_diff('day', (SELECT min(day) FROM dated), max(max(day)) OVER ()) + 1 AS coverage_days FROM dated WHERE day < (SELECT min(day) FROM dated) + 10 GROUP BY 1""",
+  "growth_rate|trend_score|issue_velocity")
+def _(spark, sf_dir):
+    """The first ten days alone are too few for a trend, so every theme is neutral."""
+    volume = _volume(spark, sf_dir)
+    first = volume.select(F.min("day").alias("first"))
+    early = volume.where(F.col("day") < F.date_add(first.scalar(), 10))
+    return trends.theme_trends(early).withColumn("coverage_days", F.col("coverage_days").cast("long"))
+
+
+# ---- aggregates that follow new rows ------------------------------------------------------------------------------
+
+def _batches(spark, sf_dir) -> CubeTables:
+    """Three batches by the hour of the event, the second of them added twice, as after a failure."""
+    tables = CubeTables(spark, f"{shared_folder(spark).rstrip('/')}/cubes-{uuid.uuid4().hex}")
+    rows = feedback(spark, sf_dir)
+    part = F.col("source_row_number") % 3
+    for name, number in (("1", 0), ("2", 1), ("2", 1), ("3", 2)):
+        tables.add(name, rows.where(part == number))
+    return tables
+
+
+@query("incremental_theme_summary", SUMMARY_CTES, f"SELECT {', '.join(SUMMARY_COLUMNS)} FROM summary", "|".join(SUMMARY_DOUBLES))
+def _(spark, sf_dir):
+    return _batches(spark, sf_dir).themes().select(*SUMMARY_COLUMNS)
+
+
+@query("incremental_weeks", SUMMARY_CTES, WEEKS_SQL, "negative_percentage")
+def _(spark, sf_dir):
+    return _batches(spark, sf_dir).weekly()
+
+
+@query("incremental_distinct_texts", FEEDBACK_CTES, "SELECT platform, count(*) AS rows, count(DISTINCT original_text) AS distinct_texts, TRUE AS within_error FROM feedback GROUP BY 1")
+def _(spark, sf_dir):
+    """The exact number of texts per platform, and whether the estimate from the merged sketches lies within its error."""
+    exact = distinct.distinct_counts(feedback(spark, sf_dir), "original_text", ("platform",), "distinct_texts")
+    joined = null_safe(_batches(spark, sf_dir).distinct_texts(), exact, ["platform"])
+    near = F.abs(F.col("estimate") - F.col("distinct_texts")) <= F.col("distinct_texts") * distinct.SKETCH_ERROR
+    return joined.select("platform", "rows", "distinct_texts", near.alias("within_error"))
+
+
 # ---- segments -----------------------------------------------------------------------------------------------------
 
 @query("dataset_summary", FEEDBACK_CTES, """SELECT CAST(NULL AS BIGINT) AS total_raw_reviews, count(*) AS total_cleaned_reviews, strftime(min(date), '%Y-%m-%d') AS date_start, strftime(max(date), '%Y-%m-%d') AS date_end,
@@ -481,6 +550,21 @@ def _(spark, sf_dir):
     return segments.segment_insights(analyzed(spark, sf_dir))
 
 
+@query("incremental_segments", SEGMENT_CTES, """SELECT s.dimension, s.value, review_count, negative_share, positive_share, average_rating, CAST(rank AS INT) AS rank, p.primary_theme AS top_pain_point,
+  r.feature_request_group AS top_feature_request FROM seg s LEFT JOIN pain p ON p.dimension = s.dimension AND p.value = s.value AND p.rk = 1
+  LEFT JOIN reqs r ON r.dimension = s.dimension AND r.value = s.value AND r.rk = 1 WHERE rank <= 6""", "negative_share|positive_share|average_rating")
+def _(spark, sf_dir):
+    return _batches(spark, sf_dir).segments()
+
+
+@query("price_median", sql="""SELECT l_returnflag AS returnflag, round_even(median(l_quantity / 12.5), 4) AS median_rating, round_even(avg(l_quantity / 12.5), 4) AS average_rating FROM lineitem WHERE l_quantity / 12.5 BETWEEN 1 AND 5 GROUP BY 1""",
+       doubles="median_rating|average_rating")
+def _(spark, sf_dir):
+    """Medians of many values: quantities brought into the range of ratings."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("returnflag"), (F.col("l_quantity") / 12.5).alias("rating"))
+    return segments.rating_summary(lines, ["returnflag"]).select("returnflag", "median_rating", "average_rating")
+
+
 @query("theme_segment_crosstab", ANALYZED_CTES, """SELECT t.theme, s.segment, count(a.review_id) AS mentions FROM (SELECT DISTINCT primary_theme AS theme FROM analyzed WHERE platform IS NOT NULL) t, (SELECT DISTINCT platform AS segment FROM analyzed WHERE platform IS NOT NULL) s
   LEFT JOIN analyzed a ON a.primary_theme = t.theme AND a.platform = s.segment GROUP BY 1, 2""")
 def _(spark, sf_dir):
@@ -576,10 +660,16 @@ def _(spark, sf_dir):
   round_even(change, 4) AS magnitude, (SELECT string_agg(review_id, '|' ORDER BY review_id) FROM (SELECT review_id FROM analyzed a WHERE a.primary_theme = b.theme AND a.app_version = b.version AND (b.platform IS NULL OR a.platform = b.platform) ORDER BY review_id LIMIT 3)) AS ids
   FROM based b WHERE abs(change) >= 0.05 AND theme_rows > 0""", "before_value|during_value|after_value|magnitude")
 def _(spark, sf_dir):
-    stories = rel.release_stories(stored(spark, sf_dir)).withColumnRenamed("watched_platform", "platform")
+    stories = rel.release_stories(stored(spark, sf_dir), limit=1000).withColumnRenamed("watched_platform", "platform")
     return stories.withColumn("ids", F.array_join("supporting_review_ids", "|")).drop("supporting_review_ids", "evidence_note", "rank")
 
 
+@query("top_release_stories", MATRIX_CTES, """SELECT title, rank FROM (SELECT 'Observed ' || theme || ' ' || CASE WHEN change > 0 THEN 'increase' ELSE 'decrease' END || ' in version ' || version AS title,
+  CAST(row_number() OVER (ORDER BY abs(round_even(change, 4)) DESC, version, theme || ' share') AS INT) AS rank FROM based WHERE abs(change) >= 0.05 AND theme_rows > 0) WHERE rank <= 2""")
+def _(spark, sf_dir):
+    return rel.release_stories(stored(spark, sf_dir), limit=2).select("title", "rank")
+
+
 # ---- quotes -------------------------------------------------------------------------------------------------------
 
 QUOTES_SQL = """SELECT review_id, original_text, date, rating, platform, primary_theme, CAST(rk AS INT) AS rank FROM (
@@ -662,11 +752,14 @@ def _(spark, sf_dir):
     )
 
 
-@query("request_insights", GROWTH_CTES + f", g AS ({GROWTH_SQL})", """SELECT CAST(row_number() OVER (ORDER BY request_count DESC, average_confidence DESC, "group") AS INT) AS rank, * FROM (
+REQUEST_INSIGHTS_SQL = """SELECT CAST(row_number() OVER (ORDER BY request_count DESC, average_confidence DESC, "group") AS INT) AS rank, * FROM (
   SELECT feature_request_group AS "group", count(*) AS request_count, round_even(count(*) / (SELECT count(*) FROM analyzed WHERE is_feature_request), 4) AS share_of_requests,
     round_even(avg(feature_request_confidence), 4) AS average_confidence, any_value(growth_rate) AS growth_rate, CASE WHEN any_value(growth_rate) > 0.05 THEN 'growing' WHEN any_value(growth_rate) < -0.05 THEN 'declining' ELSE 'stable' END AS trend_direction,
     string_agg(DISTINCT platform, '|' ORDER BY platform) AS platforms, string_agg(DISTINCT user_segment, '|' ORDER BY user_segment) AS user_segments
-  FROM analyzed JOIN g USING (feature_request_group) WHERE is_feature_request GROUP BY 1) ORDER BY rank LIMIT 8""", "share_of_requests|average_confidence|growth_rate")
+  FROM analyzed JOIN g USING (feature_request_group) WHERE is_feature_request GROUP BY 1) ORDER BY rank LIMIT 8"""
+
+
+@query("request_insights", GROWTH_CTES + f", g AS ({GROWTH_SQL})", REQUEST_INSIGHTS_SQL, "share_of_requests|average_confidence|growth_rate")
 def _(spark, sf_dir):
     found = evidence.request_insights(materialize(analyzed(spark, sf_dir, "requests")))
     return found.select(
@@ -675,7 +768,26 @@ def _(spark, sf_dir):
     )
 
 
-@query("unique_quote_evidence")
+GREEDY_CTES = "RECURSIVE " + SUMMARY_CTES + GROWTH_CTES.removeprefix(ANALYZED_CTES) + f""", g AS ({GROWTH_SQL}), insights AS ({REQUEST_INSIGHTS_SQL}), ranked AS ({RANK_SQL}),
+wanted AS (SELECT 'pain_point' AS kind, theme AS k, rank AS position FROM ranked WHERE section = 'top_pain_points' AND rank <= {evidence.PAIN_QUOTES}
+  UNION ALL SELECT 'feature_request', "group", rank + {evidence.PAIN_QUOTES} FROM insights WHERE rank <= {evidence.REQUEST_QUOTES}),
+cands AS MATERIALIZED (
+  SELECT dense_rank() OVER (ORDER BY w.position) AS step, w.kind, a.*, row_number() OVER (PARTITION BY w.position ORDER BY CASE WHEN w.kind = 'pain_point' AND a.sentiment = 'Negative' THEN 1 ELSE 0 END DESC,
+    CASE w.kind WHEN 'pain_point' THEN a.classification_confidence ELSE a.feature_request_confidence END DESC, a.review_id, a.source_row_number, a.original_text) AS rk
+  FROM wanted w JOIN analyzed a ON CASE w.kind WHEN 'pain_point' THEN a.primary_theme = w.k ELSE a.feature_request_group = w.k END WHERE trim(a.original_text) <> ''),
+picks(step, rk, ids, texts) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT step, rk, ids, texts FROM (
+    SELECT p.step + 1 AS step, c.rk, CASE WHEN c.rk IS NULL THEN p.ids ELSE list_append(p.ids, c.review_id) END AS ids, CASE WHEN c.rk IS NULL THEN p.texts ELSE list_append(p.texts, c.original_text) END AS texts,
+      row_number() OVER (ORDER BY c.rk) AS best
+    FROM picks p LEFT JOIN cands c ON c.step = p.step + 1 AND NOT list_contains(p.ids, c.review_id) AND NOT list_contains(p.texts, c.original_text)
+    WHERE p.step < (SELECT max(step) FROM cands)) n WHERE best = 1)"""
+
+
+@query("unique_quote_evidence", GREEDY_CTES, """SELECT CAST(row_number() OVER (ORDER BY c.step) AS INT) AS rank, c.review_id, c.original_text AS review_text, c.rating, strftime(c.date, '%Y-%m-%d') AS date, c.platform, c.app_version,
+  c.sentiment AS sentiment_label, c.primary_theme AS pain_point_theme, c.feature_request_group, c.kind AS evidence_type, CAST(c.source_row_number AS BIGINT) AS source_row_index
+  FROM picks p JOIN cands c ON c.step = p.step AND c.rk = p.rk ORDER BY c.step LIMIT 16""")
 def _(spark, sf_dir):
     rows = stored(spark, sf_dir)
     pain = evidence.pain_rankings(metrics.summarize_themes(rows))

@@ -44,6 +44,15 @@ def without_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return left.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]), "left_anti")
 
 
+def with_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the left frame whose keys the right one has; null keys match null keys, and without keys all match."""
+    if not keys:
+        return left
+    names = {k: f"_right_{k}" for k in keys}
+    renamed = right.select(*[F.col(k).alias(n) for k, n in names.items()])
+    return left.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]), "left_semi")
+
+
 def attach(df: DataFrame, one_per_group: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Add the columns of a frame that has one row per ``by`` group (or one row in all)."""
     if by:

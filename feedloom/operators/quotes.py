@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import iso_date
 from feedloom.functions.numbers import safe_float
 from feedloom.functions.text import nonblank, trim_ws
-from feedloom.operators.grouping import ids_in_rank_order, null_safe, optional, top_per_group, window, without_keys
+from feedloom.operators.grouping import ids_in_rank_order, null_safe, optional, top_per_group, window, with_keys, without_keys
+from feedloom.session import materialize
 from feedloom.vocab.themes import POSITIVE_FEEDBACK
 
 QUOTE_FIELDS = ("review_id", "original_text", "date", "rating", "platform", "primary_theme")
@@ -143,14 +144,15 @@ def unique_quote_evidence(df: DataFrame, groups: DataFrame, by: Sequence[str] =
         "_rows", F.filter("_rows", lambda r: F.lit(False)),
         lambda done, c: F.when(clash(done, c), done).otherwise(F.concat(done, F.array(c))),
     )
-    picked = folded.select(*by, picks.alias("_picks"), "_full").withColumn(
-        "_open", F.array_except("_full", F.transform("_picks", lambda p: p["position"]))
-    )
-    unresolved = picked.filter(F.size("_open") > 0)
-    if not unresolved.isEmpty():
-        return _fill_rounds(candidates, groups, by, limit)
-    rows = picked.select(*by, F.explode("_picks").alias("p")).select(*by, "p.position", "p.quote")
-    return _first_quotes(rows, by, limit)
+    picked = materialize(folded.select(*by, picks.alias("_picks"), "_full").withColumn(
+        "_open", F.size(F.array_except("_full", F.transform("_picks", lambda p: p["position"]))) > 0
+    ))
+    rows = picked.filter("NOT _open").select(*by, F.explode("_picks").alias("p")).select(*by, "p.position", "p.quote")
+    done, unresolved = _first_quotes(rows, by, limit), picked.filter("_open").select(*by)
+    if picked.filter("_open").isEmpty():
+        return done
+    # Only the segments that are still open are gone through in full.
+    return done.unionByName(_fill_rounds(with_keys(candidates, unresolved, by), groups, by, limit))
 
 
 def _candidate_order() -> list[Column]:

@@ -116,9 +116,14 @@ def mode_by_count(counts: DataFrame, keys: Sequence[str], value: str, name: str)
 def segment_insights(df: DataFrame, dimensions: Sequence[str] = DIMENSIONS, by: Sequence[str] = (), *,
                      limit: int = 6) -> DataFrame:
     """The largest ``limit`` values of every dimension with shares, mean rating, top pain theme and top request."""
+    return insights_of_cube(segment_cube(df, dimensions, by), by, limit=limit)
+
+
+def insights_of_cube(cube: DataFrame, by: Sequence[str] = (), *, limit: int = 6) -> DataFrame:
+    """Segment insights of a segment cube; its rows may repeat keys, as those of several batches do."""
     keys = [*by, "dimension", "value"]
     # One chain over the cube, so that what the cube is made of is computed once.
-    cube = segment_cube(df, dimensions, by).withColumns({
+    cube = cube.withColumns({
         "_theme_rows": F.sum("rows").over(window([*keys, "primary_theme"])), "_request_rows": F.sum("rows").over(window([*keys, "request_group"])),
     })
     pain = F.col("primary_theme").isNotNull() & ~F.col("primary_theme").isin(*NON_PAIN_THEMES)

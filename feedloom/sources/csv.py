@@ -5,13 +5,15 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from feedloom.functions.text import nonblank
-from feedloom.operators.conform import number_file_rows
+from feedloom.operators.conform import number_file_rows, number_rows
+from feedloom.sources.records import AT, data_records
 from feedloom.vocab.columns import NA_TOKENS
 
 RAW = "_raw_record"
@@ -63,8 +65,8 @@ def read_feedback_csv(spark: SparkSession, paths: str | Sequence[str], *, encodi
     """Read CSV files as string columns named by their header.
 
     Files may order their columns differently, but need the same ones. Rows with more fields than the header fail the job
-    that reads them; shorter rows are filled with nulls. A file with a quoted line break is read in one task, others are
-    split; ``multi_line`` overrides what the lines say. ``max_rows`` rejects a longer input and costs a count; by default
+    that reads them; shorter rows are filled with nulls. Files with quoted line breaks are split like others and their lines
+    put together, line breaks as line feeds; ``multi_line`` overrides what the lines say. ``max_rows`` rejects a longer input and costs a count; by default
     there is no limit.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -78,13 +80,11 @@ def read_feedback_csv(spark: SparkSession, paths: str | Sequence[str], *, encodi
     kinds: dict[tuple, list[str]] = {}
     for f in files:
         kinds.setdefault((f.encoding, f.header, f.multi_line if multi_line is None else multi_line), []).append(f.path)
-    parts = [_scan(spark, own, *kind) for kind, own in sorted(kinds.items())]
+    parts = [_scan_records(spark, own, *kind[:2]) if kind[2] else _scan(spark, own, *kind[:2]) for kind, own in sorted(kinds.items())]
     if row_numbers:
         out = _numbered(parts)
     else:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
+        out = reduce(DataFrame.unionByName, [part.drop(AT) for part in parts])
     # Quoted values may hold commas; without them the commas of a record tell its fields.
     fields = F.length(F.regexp_replace(F.regexp_replace(RAW, '"([^"]|"")*"', ""), "[^,]", "")) + 1
     # Naming a field keeps it among the columns read: Spark refuses to read the raw record alone.
@@ -97,20 +97,29 @@ def read_feedback_csv(spark: SparkSession, paths: str | Sequence[str], *, encodi
     return out
 
 
-def _scan(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...], multi_line: bool) -> DataFrame:
+def _scan(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...]) -> DataFrame:
     """Records whose number of fields is not that of the header keep their text in ``RAW``."""
     schema = StructType([StructField(c, StringType()) for c in (*header, RAW)])
     return spark.read.options(
-        header="true", encoding=encoding, multiLine=str(multi_line).lower(), quote='"', escape='"', enforceSchema="true",
+        header="true", encoding=encoding, quote='"', escape='"', enforceSchema="true",
         columnNameOfCorruptRecord=RAW, columnPruning="false",
     ).schema(schema).csv(files)
 
 
+def _scan_records(spark: SparkSession, files: list[str], encoding: str, header: tuple[str, ...]) -> DataFrame:
+    """As ``_scan``, for files with line breaks in quotes: the lines are put together to records first."""
+    fields = StructType([StructField(c, StringType()) for c in (*header, RAW)])
+    options = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": RAW}
+    schema = ", ".join(f"`{f.name}` STRING" for f in fields)
+    parsed = data_records(spark, files, encoding).select(AT, F.from_csv("record", schema, options).alias("_row"))
+    return parsed.select(AT, *[F.col(f"_row.`{f.name}`").alias(f.name) for f in fields])
+
+
 def _numbered(parts: list[DataFrame]) -> DataFrame:
     """Row numbers per part; a later part continues after the rows of the earlier ones."""
     out, start = None, 2
     for i, part in enumerate(parts):
-        numbered = number_file_rows(part, start=start)
+        numbered = number_rows(part, AT, start=start).drop(AT) if AT in part.columns else number_file_rows(part, start=start)
         out = numbered if out is None else out.unionByName(numbered)
         if i + 1 < len(parts):
             start += part.count()

@@ -1,14 +1,15 @@
 """Metrics, trends, segments, quotes, releases, evidence, grounding."""
 
 import json
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.operators import contracts, evidence, grounding, metrics, quotes, releases, trends, views
+from feedloom.operators import contracts, evidence, grounding, grouping, metrics, quotes, releases, segments, trends, views
 from feedloom.operators.filters import apply_filters
-from feedloom.plans import aggregate
+from feedloom.plans import CubeTables, aggregate
 from feedloom.streaming import stream_enriched
 
 
@@ -202,3 +203,84 @@ def test_stream_matches_batch(spark, feedback, analyzed, tmp_path):
     stream_enriched(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.groupBy("primary_theme").count().exceptAll(analyzed.groupBy("primary_theme").count()).isEmpty() and out.count() == analyzed.count()
+
+
+def test_cubes_of_batches_equal_all_rows(spark, feedback, analyzed, tmp_path):
+    """Batches in any cut add up to the whole; a batch given twice counts once; each batch is read and enriched once."""
+    tables = CubeTables(spark, str(tmp_path / "cubes"))
+    part = F.col("source_row_number") % 4
+    tables.add("2024-01", feedback.where(part == 0))
+    half = tables.themes().agg(F.sum("frequency")).first()[0]
+    assert half == feedback.where(part == 0).count()
+    tables.add("7", feedback.where(part.isin(1, 2)))
+    tables.add("7", feedback.where(part.isin(1, 2)))
+    tables.add("07", feedback.where(part == 3))
+    tables.add("none", feedback.limit(0))
+    result = aggregate(analyzed)
+
+    def same(a, b):
+        order = sorted(a.columns)
+        rounded = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in sorted(a.dtypes)]
+        assert sorted(map(str, a.select(rounded).collect())) == sorted(map(str, b.select(order).select(rounded).collect()))
+
+    same(tables.themes(), result.themes)
+    same(tables.weekly(), result.weekly)
+    same(tables.daily(), result.daily)
+    same(tables.trends(), result.trends)
+    same(tables.segments(), segments.segment_insights(analyzed))
+    plan = tables.themes()._jdf.queryExecution().executedPlan().toString()
+    assert "events" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_a_batch_is_seen_when_complete(spark, feedback, tmp_path):
+    tables = CubeTables(spark, str(tmp_path / "cubes"))
+    tables.add("a", feedback.limit(50))
+    feedback.limit(20).transform(lambda df: spark.createDataFrame([], tables.cube("volume").schema)).write.parquet(str(tmp_path / "cubes/volume/batch=batch-b"))
+    tables.cube("volume").write.parquet(str(tmp_path / "cubes/volume/batch=batch-c"))
+    assert tables.volume().agg(F.sum("feedback_count")).first()[0] == feedback.limit(50).where("date IS NOT NULL").count()
+
+
+def brute_quotes(rows, groups, limit=16):
+    """One row per group in order, ids and texts never twice."""
+    ids, texts, out = set(), set(), []
+    for position, kind, key in sorted(groups):
+        own = [r for r in rows if (r["primary_theme"] if kind == "pain_point" else r["feature_request_group"]) == key and (r["original_text"] or "").strip()]
+        own.sort(key=lambda r: (-(kind == "pain_point" and r["sentiment"] == "Negative"), -(r["classification_confidence" if kind == "pain_point" else "feature_request_confidence"]), r["review_id"], r["source_row_number"]))
+        best = next((r for r in own if r["review_id"] not in ids and r["original_text"] not in texts), None)
+        if best:
+            ids.add(best["review_id"])
+            texts.add(best["original_text"])
+            out.append((len(out) + 1, best["review_id"]))
+    return out[:limit]
+
+
+def test_quotes_of_open_segments_do_not_touch_others(spark, analyzed):
+    """With a depth of one, segments whose first choices clash are open and resolved in full; all equal brute force."""
+    rows = analyzed.withColumn("original_text", F.when(F.col("platform") == "Web", F.concat("primary_theme", F.lit("!"))).otherwise(F.col("original_text")))
+    rows = rows.withColumn("platform", F.coalesce("platform", F.lit("none")))
+    themes = ["Payment and Checkout", "App Performance", "Delivery Experience", "Feature Request"]
+    wanted = [(p, t) for p in ("Web", "iOS", "Android", "none") for t in enumerate(themes, start=1)]
+    groups = spark.createDataFrame([(p, "pain_point", t, n) for p, (n, t) in wanted], "platform string, kind string, key string, position int")
+    held = [r.asDict() for r in rows.collect()]
+    for depth in (1, 50):
+        got = quotes.unique_quote_evidence(rows, groups, ["platform"], depth=depth).collect()
+        for platform in ("Web", "iOS", "Android", "none"):
+            own = sorted((r["rank"], r["quote"]["review_id"]) for r in got if r["platform"] == platform)
+            assert own == brute_quotes([r for r in held if r["platform"] == platform], [(n, "pain_point", t) for n, t in enumerate(themes, start=1)])
+
+
+def test_lists_are_ordered_limited_and_empty_where_nothing_is(spark):
+    df = spark.createDataFrame([("g", v, None) for v in ("b", " a", "a ", "", None, "c")] + [(None, "z", None), ("e", " ", None)], "k string, v string, w string")
+    keys = df.select("k").distinct()
+    got = {r["k"]: (r["lists"], r["others"]) for r in grouping.with_lists(keys, df, ["k"], {"lists": F.col("v"), "others": F.col("w")}, limit=2).collect()}
+    assert got == {"g": (["a", "b"], []), None: (["z"], []), "e": ([], [])}
+    rows = {(r["k"], r["value"], r["rows"]) for r in grouping.distinct_values(df, ["k"], {"lists": F.col("v")}).collect()}
+    assert rows == {("g", "a", 2), ("g", "b", 1), ("g", "c", 1), (None, "z", 1)}
+
+
+@pytest.mark.parametrize("values", [[], [None], [9.0, 0.0], [3.0], [1.5, 2.5], [1.0, 1.0, 5.0], [1.0, 2.0, 2.0, 4.0], [None, 5.0, 4.25, 1.125, 4.25]])
+def test_median_of_value_counts(spark, values):
+    row = segments.rating_summary(spark.createDataFrame([(v,) for v in values], "rating double").repartition(3)).first()
+    valid = [v for v in values if v is not None and 1 <= v <= 5]
+    assert row["median_rating"] == (round(statistics.median(valid), 4) if valid else None)
+    assert sum(row[f"{n}_star_count"] for n in ("one", "two", "three", "four", "five")) == len(valid)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_timestamp, week_ending
 from feedloom.functions.numbers import parse_number
 from feedloom.functions.text import MAY_CHANGE, clean_text, nonblank, request_text
+from feedloom.operators import distinct
 from feedloom.operators.cleaning import cleaning_warnings
 from feedloom.operators.conform import conform, number_rows, suggest_mapping
 from feedloom.operators.quality import mixed_type_profile, quality_summary, validate
@@ -160,3 +161,87 @@ def test_manifest_and_sinks(spark, tmp_path):
     write_csv(df.withColumn("theme", F.lit("T")), str(tmp_path / "csv"), partition_by=["theme"])
     assert (tmp_path / "csv" / "theme=T").exists()
     assert quality_summary(None, spark).first()["notes"] == ["Cleaning report was not supplied."]
+
+
+def test_csv_with_line_breaks_in_quotes_is_split(spark, tmp_path):
+    """Records of many lines, over many splits, equal what Python's reader gives; more than one task reads a file."""
+    import csv as reader
+
+    from feedloom.sources import records
+
+    body = ["id,review_text,rating"]
+    for i in range(400):
+        text = ["plain", 'say ""hi""', "two\nlines", "a\n\nb,c\nd", '""', "x" * 90][i % 6]
+        body.append(f'{i},"{text}",{i % 5 + 1}')
+        if i % 50 == 0:
+            body.append("")
+    for name, end in (("unix", "\n"), ("dos", "\r\n")):
+        (tmp_path / f"{name}.csv").write_bytes((end.join(body) + end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name in ("unix", "dos"):
+            path = str(tmp_path / f"{name}.csv")
+            assert records.lines_of(spark, [path], "UTF-8").rdd.getNumPartitions() > 5
+            rows = read_feedback_csv(spark, path, na_tokens=()).orderBy("source_row_number").collect()
+            want = [r for r in reader.reader("\n".join(body).splitlines(keepends=True)) if r][1:]
+            assert [[r["id"], r["review_text"] or "", r["rating"]] for r in rows] == want
+            assert [r["source_row_number"] for r in rows] == list(range(2, 402))
+    finally:
+        for key, value in zip(("maxPartitionBytes", "openCostInBytes"), before, strict=True):
+            spark.conf.set(f"spark.sql.files.{key}", value)
+    latin = tmp_path / "latin.csv"
+    latin.write_bytes('id,review_text\n1,"caf\xe9\nbar"\n2,"a,b"\n'.encode("latin-1"))
+    assert [tuple(r) for r in read_feedback_csv(spark, str(latin), row_numbers=False).orderBy("id").collect()] == [("1", "caf\xe9\nbar"), ("2", "a,b")]
+    long = tmp_path / "long.csv"
+    long.write_text('id,review_text\n1,"a\nb",extra\n')
+    with pytest.raises(Exception, match="more fields"):
+        read_feedback_csv(spark, str(long)).collect()
+
+
+def _copies(rows):
+    """Content -> (smallest row number, copies)."""
+    out = {}
+    for *content, number in rows:
+        first, n = out.get(tuple(content), (number, 0))
+        out[tuple(content)] = min(first, number), n + 1
+    return out
+
+
+@pytest.mark.parametrize("prints", ["own", "all equal", "two values"])
+def test_distinct_rows_with_any_fingerprint(spark, prints):
+    """Content decides, however many rows share a fingerprint; nulls are values and their place counts."""
+    made = {
+        "own": distinct.fingerprints, "all equal": lambda columns: (F.lit(0).cast("long"), F.lit(0).cast("long")),
+        "two values": lambda columns: (F.xxhash64(*columns) % 2, F.lit(0).cast("long")),
+    }[prints]
+    rows = [("a", None, 5), (None, "a", 6), ("a", None, 3), (None, None, 8), (None, None, 7), ("b", "c", 1), ("", None, 2), *[("hot", "row", 100 + i) for i in range(300)]]
+    df = spark.createDataFrame(rows, "x string, y string, n long").repartition(6)
+    got = {(r["x"], r["y"]): (r["n"], r["copies"]) for r in distinct.distinct_rows(df, "n", "copies", made).collect()}
+    assert got == _copies(rows)
+    assert distinct.surplus_rows(df, ["x", "y"], prints=made).first()["surplus"] == len(rows) - len(got)
+    by_x = {r["x"]: r["d"] for r in distinct.distinct_counts(df, "y", ["x"], "d").collect()}
+    assert by_x == {"a": 0, None: 1, "b": 1, "": 0, "hot": 1}
+    assert distinct.distinct_counts(df, "y", name="d").first()["d"] == 3
+    nothing = df.limit(0)
+    assert distinct.distinct_rows(nothing, "n", "copies", made).collect() == [] and distinct.distinct_counts(nothing, "y", name="d").first()["d"] == 0
+
+
+def test_only_repeated_rows_are_shuffled_whole(spark):
+    """Rows that are alone with their fingerprint reach the result by a broadcast join and no exchange."""
+    df = spark.createDataFrame([(f"text {i}", i) for i in range(500)], "x string, n long")
+    single, suspect = distinct.split_repeated(df, ["x"])
+    assert single.count() == 500 and suspect.count() == 0
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_sketches_merge_like_sets(spark):
+    rows = [(f"2024-01-{d:02d}", "ab"[i % 2], f"t{(i * 7 + d) % 4000}") for d in range(1, 11) for i in range(3000)]
+    df = spark.createDataFrame(rows, "date string, k string, t string")
+    sketches = distinct.value_sketches(df, "t", ["k"])
+    assert sketches.count() == 20
+    exact = {r["k"]: r["d"] for r in distinct.distinct_counts(df, "t", ["k"], "d").collect()}
+    for r in distinct.estimated_distinct(sketches, ["k"]).collect():
+        assert r["rows"] == 15000 and abs(r["estimate"] - exact[r["k"]]) <= distinct.SKETCH_ERROR * exact[r["k"]]
