@@ -18,6 +18,7 @@ from feedloom.operators.cleaning import keep_first
 from feedloom.operators.conform import conform, number_rows
 from feedloom.operators.filters import apply_filters, date_bounds, filter_options
 from feedloom.operators.grouping import attach, null_safe
+from feedloom.operators.rule_tables import match_rule_table
 from feedloom.operators.signals import STAGES, enrich
 from feedloom.operators.themes import add_theme_signals, match_rules
 from feedloom.plans.incremental import CubeTables
@@ -273,6 +274,40 @@ def _(spark, sf_dir):
     return matched.select("doc_id", "_match.theme", "_match.subtheme", "_match.score")
 
 
+def _rule_frame(spark, rules) -> DataFrame:
+    rows = [(i, r.theme, r.subtheme, list(r.phrases), list(r.keywords)) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_idx int, theme string, subtheme string, phrases array<string>, keywords array<string>")
+
+
+def _part_rules(spark, sf_dir, start: int) -> DataFrame:
+    """One rule for every part: its name as a phrase, its key as a keyword."""
+    parts = table(spark, sf_dir, "part")
+    return parts.select((F.col("p_partkey") + start).cast("int").alias("rule_idx"), F.lit("Part").alias("theme"), F.col("p_name").alias("subtheme"),
+                        F.array(F.lower("p_name")).alias("phrases"), F.array(F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("keywords"))
+
+
+@query("document_rule_table", f"""part_terms AS (SELECT CAST(p_partkey + 100 AS INT) AS r, 'Part' AS theme, p_name AS subtheme, unnest([lower(p_name), 'p' || p_partkey]) AS term, unnest([3, 1]) AS points FROM part),
+doc_terms AS (SELECT r, theme, subtheme, term, points FROM {sql_rows(_DOC_TERMS)} t(r, term, points) JOIN {sql_rows((i, r[0], r[1]) for i, r in enumerate(DOCUMENT_RULES))} v(r, theme, subtheme) USING (r)
+  UNION ALL SELECT * FROM part_terms),
+low AS (SELECT doc_id, trim(regexp_replace(lower(text), '{WS_SQL}+', ' ', 'g')) AS t FROM documents),
+split AS (SELECT doc_id, t, list_distinct(string_split_regex(t, '[^\p{{L}}\p{{N}}_]+')) AS w FROM low),
+hits AS (SELECT doc_id, r, theme, subtheme, points FROM split JOIN doc_terms ON (contains(term, ' ') OR contains(term, '-')) AND contains(t, term)
+  UNION ALL SELECT doc_id, r, theme, subtheme, points FROM (SELECT doc_id, unnest(w) AS term FROM split) s JOIN doc_terms USING (term) WHERE NOT contains(term, ' ') AND NOT contains(term, '-')),
+scores AS (SELECT doc_id, r, theme, subtheme, sum(points) AS score FROM hits GROUP BY ALL)""",
+"""SELECT doc_id, theme, subtheme, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, r) AS rk FROM scores) WHERE rk = 1""", "score")
+def _(spark, sf_dir):
+    """The rules of ``document_rules`` and one for every part, as a table that grows with the data."""
+    rules = _rule_frame(spark, ThemeRules.from_rows(DOCUMENT_RULES).rules).unionByName(_part_rules(spark, sf_dir, 100))
+    return match_rule_table(table(spark, sf_dir, "documents"), rules, "doc_id", "text").select("doc_id", "theme", "subtheme", "score")
+
+
+@query("theme_rule_table", ANALYZED_CTES, """SELECT f.review_id, t.theme, t.subtheme, CAST(t.score AS DOUBLE) AS score, t.phrase = 1 AS by_phrase, x.secondary
+  FROM feedback f JOIN rule_top t USING (clean_text) LEFT JOIN rule_second x USING (clean_text)""", "score")
+def _(spark, sf_dir):
+    rules = _rule_frame(spark, ThemeRules.default().rules).unionByName(_part_rules(spark, sf_dir, 1000))
+    return match_rule_table(feedback(spark, sf_dir), rules, "review_id")
+
+
 # ---- metrics ------------------------------------------------------------------------------------------------------
 
 _CRITICAL = " OR ".join(f"contains(lower(clean_text), '{t}')" for t in CRITICAL_TERMS)

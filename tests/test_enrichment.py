@@ -1,12 +1,17 @@
 """Sentiment, request and theme behaviour."""
 
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.functions.search import _finder, _regex_finder
 from feedloom.operators.requests import add_feature_request_columns
 from feedloom.operators.sentiment import add_sentiment_columns, score_text
 from feedloom.operators.signals import enrich
-from feedloom.operators.themes import add_classification_columns
+from feedloom.operators.rule_tables import match_rule_table, rule_terms, term_matches
+from feedloom.operators.themes import add_classification_columns, add_theme_signals, match_rules
 from feedloom.vocab import Lexicon, RequestRules, ThemeRules
 
 # Own sentences, one per branch.
@@ -14,17 +19,18 @@ SENTIMENTS = [
     ("great crust and a good sauce", None, "Positive"), ("a bad and terrible new menu", None, "Negative"), ("arrived on tuesday", None, "Neutral"),
     ("The pasta was great although the payment failed", 1.0, "Negative"), ("Love the new icons", 5.0, "Positive"),
     ("the map is not working since noon", None, "Negative"), ("", None, "Neutral"), (None, None, "Neutral"), ("A terrible ride home", None, "Negative"),
-    ("plain box, plain lid", 1.5, "Negative"), ("plain box, plain lid", 9.0, "Neutral"),
+    ("plain box, plain lid", 1.5, "Negative"), ("plain box, plain lid", 2.5, "Negative"), ("plain box, plain lid", 3.5, "Positive"), ("plain box, plain lid", 9.0, "Neutral"),
 ]
 THEMES = [
     ("At the till my payment failed and the money deducted stayed away", "Payment and Checkout"), ("A late delivery for the third sunday running", "Delivery Experience"),
     ("Six weeks on and still refund not received", "Refunds and Cancellations"), ("Whenever it rains the app crashes", "App Performance"),
     ("Standing at the door, otp not received", "Login and Account"), ("Two spoons and one item was missing", "Missing or Incorrect Items"),
     ("Wonderful folks, excellent service all round", "Positive Feedback"), ("zzz", "Other"),
+    ("A plate order of two", "Delivery Experience"),
 ]
 REQUESTS = [
     ("Please add an export as pdf for my accountant", "Data Export and Reports"), ("I wish there was an expense planner", "Budgeting and Spending Insights"),
-    ("Could you add a repeat transfer for the rent", "Scheduled and Recurring Payments"), ("It would help to have night colours", "Dark Mode and Appearance"),
+    ("Could you add a repeat transfer for the rent", "Scheduled and Recurring Payments"), ("It would help to have a night colour scheme", "Dark Mode and Appearance"),
     ("Please support foreign currencies", "Multi-Currency and International Support"), ("Allow me to lock my card", "Card Controls"),
     ("There should be a way to sort by name", "Search, Filters, and Sorting"), ("Please provide a balance widget", "Widgets and Quick Access"),
     ("We need an option for a household wallet", "Family and Shared Accounts"), ("It should support staff roles", "Team and Business Access"),
@@ -33,9 +39,14 @@ REQUESTS = [
     ("Please introduce custom labels", "Personalization"), ("Show yearly statements", "Statements and Transaction History"),
     ("Please add bonus tiers", "Rewards and Loyalty"), ("We would love a human agent", "Customer Support Improvements"),
     ("Please support google pay", "Payment Methods and Wallets"), ("Download yearly statements as pdf", "Data Export and Reports"),
+    # Several groups in one text: the order of groups, their points, bars and the preferred group decide.
+    ("Give us an option: accounting integration and a ledger export", "Data Export and Reports"), ("Allow staff to export the reconciliation of the month", "Data Export and Reports"),
+    ("Add dark mode with larger text and a widget", "Dark Mode and Appearance"), ("Need a wallet integration", "Payment Methods and Wallets"), ("Need an EUR wallet", "Multi-Currency and International Support"),
+    ("Add my own spending categories", "Budgeting and Spending Insights"), ("Need Face-ID, the code by text never comes", "Security and Biometric Controls"), ("pls add darkmode", "Dark Mode and Appearance"),
+    ("Need auto-pay for the rent", "Scheduled and Recurring Payments"), ("I want a custom home screen", "Personalization"), ("Add a smartwatch face", "Widgets and Quick Access"),
     ("Please add purple balloons", "Other feature request"),
 ]
-COMPLAINTS = ["The transfer is stuck since noon", "I need my refund before the weekend", "My statement is wrong by two euros", "The agent was rude again"]
+COMPLAINTS = ["The transfer is stuck since noon", "I need my refund before the weekend", "My statement is wrong by two euros", "The agent was rude again", "Support should respond faster", "The app needs to stop crashing and please add nothing", "I want my money back, export or not"]
 
 
 def test_sentiment(spark):
@@ -43,7 +54,7 @@ def test_sentiment(spark):
     rows = add_sentiment_columns(df).orderBy("i").collect()
     assert [r["sentiment"] for r in rows] == [s for *_, s in SENTIMENTS]
     assert all(-1 <= r["sentiment_score"] <= 1 and 0 <= r["negativity_score"] <= 1 for r in rows)
-    assert rows[6]["sentiment_method"] == "safe_neutral" and rows[10]["sentiment_method"] == "vader"
+    assert rows[6]["sentiment_method"] == "safe_neutral" and rows[12]["sentiment_method"] == "vader"
 
 
 def test_polarity_modifiers():
@@ -63,7 +74,8 @@ def test_requests(spark):
         assert r["is_feature_request"] and r["feature_request_group"] == group, text
     assert not any(r["is_feature_request"] for r in rows[len(REQUESTS):])
     assert rows[len(REQUESTS) - 1]["feature_request_method"] == "intent_fallback"
-    assert rows[0]["feature_request_confidence"] == 0.9 and rows[0]["feature_request_matched_terms"] == "export as pdf"
+    assert rows[0]["feature_request_confidence"] == 0.78 and rows[0]["feature_request_matched_terms"] == "export, pdf"
+    assert rows[7 - 4]["feature_request_confidence"] == 0.9 and rows[20 - 1]["feature_request_matched_terms"] == "pdf, download, download + statement"
 
 
 def test_themes(spark):
@@ -73,7 +85,7 @@ def test_themes(spark):
     two = spark.createDataFrame([("at the till the payment failed and my money deducted, then a late delivery",)], "clean_text string")
     row = add_classification_columns(two).first()
     assert row["primary_theme"] == "Payment and Checkout" and row["secondary_theme"] == "Delivery Experience"
-    assert 0.9 <= row["classification_confidence"] <= 0.99
+    assert row["classification_confidence"] == pytest.approx(0.98)
 
 
 def test_enrichment_does_not_depend_on_layout_or_stage_order(spark, feedback):
@@ -106,3 +118,32 @@ def test_enrichment_is_map_only_and_searches_once_per_stage(feedback):
     plan = enrich(feedback.select("review_id", "clean_text", "rating"), normalise=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") <= 4
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_rule_tables_match_like_rules_in_the_plan(spark, feedback):
+    """The same rules as a table and inside the plan give the same match for every text; so do terms that share all runs."""
+    rows = [("A", "a", ["ab ab ab", "x-y"], ["on"]), ("B", "b", ["ab ab", "late order"], ["one", "é"]), ("C", "c", ["b a"], ["ab", "on", "ab"]), ("A", "z", [], ["late"])]
+    texts = ["ab ab ab", "b ab abx", "plate orders, on one", "it is on", "É ab", "x-yz", "", None, "  ", "nothing here", "late", "On-one;late order"]
+    tables = {
+        "odd": (spark.createDataFrame(list(enumerate(texts)), "i long, clean_text string"), rows),
+        "all": (feedback.select(F.col("source_row_number").alias("i"), "clean_text"), [(r.theme, r.subtheme, r.phrases, r.keywords) for r in ThemeRules.default().rules]),
+    }
+    for df, rules in tables.values():
+        inside = match_rules(add_theme_signals(df, ThemeRules.from_rows(rules)), ThemeRules.from_rows(rules)).where("_match IS NOT NULL")
+        frame = spark.createDataFrame([(i, t, s, list(p), list(k)) for i, (t, s, p, k) in enumerate(rules)], "rule_idx int, theme string, subtheme string, phrases array<string>, keywords array<string>")
+        got = {r["i"]: (r["theme"], r["subtheme"], r["score"], r["by_phrase"], r["secondary"]) for r in match_rule_table(df, frame, "i").collect()}
+        assert got == {r["i"]: tuple(r["_match"][n] for n in ("theme", "subtheme", "score", "by_phrase", "secondary")) for r in inside.collect()} and got
+    assert match_rule_table(tables["odd"][0], frame.limit(0), "i").collect() == []
+
+
+def test_terms_that_occur_are_found_whatever_their_runs(spark):
+    """Against plain Python over texts and terms of few letters, where every run is shared."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab -") for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    terms = sorted({t for t in ("".join(rng.choice("ab -") for _ in range(rng.randint(1, 6))).strip() for _ in range(120)) if t and (len(t) > 2 or not re.search("[ -]", t))})
+    frame = spark.createDataFrame([(i, [t], []) for i, t in enumerate(terms)], "rule_idx int, phrases array<string>, keywords array<string>")
+    found = {(r["i"], terms[r["rule_idx"]]) for r in term_matches(spark.createDataFrame(list(enumerate(texts)), "i long, clean_text string"), rule_terms(frame), "i").collect()}
+    def occurs(term, text):
+        text = " ".join(text.split())
+        return term in text if re.search("[ -]", term) else term in re.split("[^ab]+", text)
+    assert found == {(i, t) for i, text in enumerate(texts) for t in terms if occurs(t, text)}
