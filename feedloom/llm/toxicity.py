@@ -4,7 +4,8 @@ The examples are a bounded sample of the labelled rows, dealt by a hash of the i
 Terms are the words and beginnings of words whose share of toxic examples differs significantly from their share of the
 others; equal texts of one label, but for case and white space, count once. Document frequencies for the weights are counted over all documents. An inverted
 index over the examples keeps, per term and block of examples, the largest weight: a query adds up these maxima, visits the
-blocks from the best bound on, and stops when no block can reach its k-th best cosine any more, so the k nearest are exact.
+blocks from the best bound on, and stops when no block can reach its k-th best cosine any more, so the k nearest, and all
+that tie with the last of them, are exact. Each text is split into words once; what is stored of it are its listed terms.
 The votes of the neighbours are calibrated on the examples themselves, each judged without its own text.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.calibration import calibrate
-from feedloom.llm.common import in_share, store
+from feedloom.llm.common import in_share, pieces, store
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples per block, and blocks visited at a time.
@@ -81,18 +82,6 @@ class Matcher:
         return found, rest
 
 
-def _document_frequencies(terms: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, found = Matcher(terms), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(matcher.counts(text)[0].keys())
-                found[-1] += 1  # the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-    return run
-
-
 @dataclass
 class Index:
     """Examples as term weights of length one: ``blocks[block, term, place]``, and the largest weight per term and block."""
@@ -111,22 +100,24 @@ class Index:
         return which, weight / norm if norm else weight
 
     def nearest(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int | np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples that share a term; among equal cosines those in the better block."""
+        """Places and cosines of the k nearest examples that share a term, and of all that are as near as the k-th."""
         bounds = weight @ self.block_max[which]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
         for at in range(0, len(order), VISIT):
             visited = order[at : at + VISIT]
-            if len(places) == k and bounds[visited[0]] <= cosines[-1] + 1e-9:
+            if len(places) >= k and bounds[visited[0]] < cosines.min() - 1e-9:
                 break
             scores = np.round(np.matmul(weight, self.blocks[visited[:, None], which]), 12).ravel()
             new = (visited[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             found = (scores > 0) & ~np.isin(new, -1 if without is None else without)
             places, cosines = np.concatenate([places, new[found]]), np.concatenate([cosines, scores[found]])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+            if len(places) > k:
+                near = cosines >= np.partition(cosines, -k)[-k]
+                places, cosines = places[near], cosines[near]
+        best = np.lexsort((places, -cosines))
+        return places[best], cosines[best]
 
     def vote(self, which: np.ndarray, weight: np.ndarray, without: int | np.ndarray | None = None) -> tuple[float, np.ndarray]:
         """Share of toxic votes, weighted by cosine over distance; without a neighbour 0."""
@@ -155,21 +146,52 @@ class Scorer:
     slope: float
     offset: float
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        """Calibrated score and ids of the three nearest examples of each text."""
-        matcher, known, out = Matcher(self.terms), {}, []
-        for text in texts:
-            which, weight = self.index.vector(*matcher.counts(text))
+    def scores(self, counted: Iterable[tuple[dict[int, int], int]], known: dict[bytes, tuple] | None = None) -> list[tuple[float, list[int]]]:
+        """Calibrated score and ids of the three nearest examples for the term counts of each text.
+
+        ``known`` keeps the results of vectors that were met before; texts with few listed terms are often alike.
+        """
+        out, known = [], {} if known is None else known
+        for counts, rest in counted:
+            which, weight = self.index.vector(counts, rest)
             key = which.tobytes() + np.round(weight, 12).tobytes()
             if key not in known:
+                if len(known) >= _CACHED:
+                    known.clear()
                 raw, places = self.index.vote(which, weight)
                 known[key] = 1 / (1 + math.exp(-(self.slope * raw + self.offset))), [int(self.index.ids[p]) for p in places[:3]]
             out.append(known[key])
         return out
 
 
-def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), max_examples: int = 3000, z: float = 5.0) -> Scorer | None:
-    """The scorer of (doc_id, text) and (doc_id, toxic). None if the examples hold fewer than two labels.
+_MATCHED = "terms array<int>, counts array<int>, rest int"
+
+
+def matched_rows(rows: DataFrame, terms: list[str], *columns: str) -> DataFrame:
+    """The columns, and of each text the listed terms, how often each occurs, and the number of other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in batches:
+            for part in pieces(batch):
+                made = [matcher.counts(t) for t in part.column("text").to_pylist()]
+                found = [
+                    pa.array([list(c) for c, _ in made], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in made], pa.list_(pa.int32())), pa.array([r for _, r in made], pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *found], [*columns, "terms", "counts", "rest"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), _MATCHED]))
+
+
+def learn(documents: DataFrame, labels: DataFrame, **settings) -> Scorer | None:
+    """The scorer of (doc_id, text) and (doc_id, toxic). None if the examples hold fewer than two labels."""
+    fitted = fit(documents, labels, **settings)
+    return fitted[0] if fitted else None
+
+
+def fit(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), max_examples: int = 3000, z: float = 5.0) -> tuple[Scorer, DataFrame] | None:
+    """The scorer of (doc_id, text) and (doc_id, toxic), and the matched terms of all documents, each text read once.
 
     A term's shares of the two labels differ by ``z`` standard errors, as the signed root of the likelihood ratio tells,
     which holds for rare terms too: of equally many examples, 18 of one label and none of the other are enough at 5.
@@ -194,12 +216,12 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     ratio = sum((F.when(seen > 0, seen * F.log(seen * total / (row * n))).otherwise(0.0) for seen, row, n in cells), F.lit(0.0))
     # Each such term needs several of the bounded examples, so the list follows the sample, not the corpus.
     terms = sorted(r.term for r in counts.where(2 * ratio >= z * z).select("term").collect())
-    rows = documents.select("text").mapInArrow(_document_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r.term: r.n for r in rows}
-    total = found.pop(-1, 0)
+    everywhere = store(matched_rows(documents, terms, "doc_id"), "matched")
+    found = {r.term: r["count"] for r in everywhere.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    total = everywhere.count()
     idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(terms))])
 
-    matched = single.mapInArrow(_matched(terms), "doc_id long, toxic int, key string, terms array<int>, counts array<int>, rest int").orderBy("doc_id").collect()
+    matched = matched_rows(single, terms, "doc_id", "toxic", "key").orderBy("doc_id", "toxic").collect()
     examples = [(r.doc_id, r.toxic, dict(zip(r.terms, r.counts)), r.rest) for r in matched]
     index = build_index(idf, examples)
     # A text that has both labels stands there twice: neither row judges the other.
@@ -207,47 +229,39 @@ def learn(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (
     for place, r in enumerate(matched):
         own.setdefault(r.key, []).append(place)
     raw = np.array([index.vote(*index.vector(counts, rest), without=np.array(own[r.key]))[0] for r, (_, _, counts, rest) in zip(matched, examples)])
-    return Scorer(terms, index, *calibrate(raw, index.labels))
+    return Scorer(terms, index, *calibrate(raw, index.labels)), everywhere
 
 
-def _matched(terms: list[str]):
+def _scored(scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            made = [matcher.counts(t) for t in batch.column("text").to_pylist()]
+            columns = (batch.column(c).to_pylist() for c in ("terms", "counts", "rest"))
+            found = scorer.scores(((dict(zip(t, c)), r) for t, c, r in zip(*columns)), known)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("toxic"), batch.column("key"), pa.array([list(c) for c, _ in made], pa.list_(pa.int32())),
-                    pa.array([list(c.values()) for c, _ in made], pa.list_(pa.int32())), pa.array([r for _, r in made], pa.int32()),
-                ],
-                ["doc_id", "toxic", "key", "terms", "counts", "rest"],
+                [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
             )
 
     return run
 
 
-def toxicity_of(text: Column, scorer: Scorer | None) -> Column:
-    """Struct (score, evidence): the calibrated score and the ids of the three nearest examples. Without a scorer: 0, none."""
-
-    def judge(column: pa.Array) -> pa.Array:
-        found = scorer.scores(column.to_pylist()) if scorer else [(0.0, [])] * len(column)
-        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["score", "evidence"])
-
-    return F.arrow_udf(judge, "struct<score: double, evidence: array<long>>").asNondeterministic()(text.cast("string"))
-
-
 def toxicity(
     documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text", **settings
 ) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on), evidence (ids of nearest examples).
 
     Labels are learned from rows whose crc32(id) modulo the first number of ``held_out`` is not the second. Null and empty
-    texts share no term with any example and get the score of no votes. Labels other than 0 and 1 and null ids teach
+    texts share no term with any example and get the score of no votes. Examples as near as the last neighbour all vote, so
+    a text without a listed term is judged by all examples without one. Labels other than 0 and 1 and null ids teach
     nothing; an id that is labelled twice counts with its larger label. If the examples hold fewer than two labels, every
     score is 0. Repeated rows are judged alike; other columns are not looked at. An empty table gives no rows.
     """
-    rows = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    scorer = learn(rows, labels.select("doc_id", "toxic"), held_out, **settings)
-    return rows.select("doc_id", in_share(F.col("doc_id"), *held_out).alias("held_out"), toxicity_of(F.col("text"), scorer).alias("found")).select(
-        "doc_id", "held_out", F.col("found.score").alias("score"), (F.col("found.score") >= threshold).cast("int").alias("predicted"), F.col("found.evidence").alias("evidence")
+    rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    fitted = fit(rows, labels.select("doc_id", "toxic"), held_out, **settings)
+    if fitted is None:
+        judged = rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
+    else:
+        judged = fitted[1].mapInArrow(_scored(fitted[0]), "doc_id long, score double, evidence array<long>")
+    return judged.select(
+        "doc_id", in_share(F.col("doc_id"), *held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence"
     )
