@@ -184,6 +184,20 @@ def matched_rows(rows: DataFrame, terms: list[str], *columns: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), _MATCHED]))
 
 
+def _frequencies(size: int):
+    """In how many texts of a partition each listed term stands; under -1 the number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = np.zeros(size, np.int64), 0
+        for batch in batches:
+            found += np.bincount(np.asarray(batch.column("terms").flatten()), minlength=size)
+            total += batch.num_rows
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(found[seen], total))], ["term", "n"])
+
+    return run
+
+
 def learn(documents: DataFrame, labels: DataFrame, **settings) -> Scorer | None:
     """The scorer of (doc_id, text) and (doc_id, toxic). None if the examples hold fewer than two labels."""
     fitted = fit(documents, labels, **settings)
@@ -217,8 +231,9 @@ def fit(documents: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
     # Each such term needs several of the bounded examples, so the list follows the sample, not the corpus.
     terms = sorted(r.term for r in counts.where(2 * ratio >= z * z).select("term").collect())
     everywhere = store(matched_rows(documents, terms, "doc_id"), "matched")
-    found = {r.term: r["count"] for r in everywhere.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
-    total = everywhere.count()
+    rows = everywhere.select("terms").mapInArrow(_frequencies(len(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r.term: r.n for r in rows}
+    total = found.pop(-1, 0)
     idf = np.array([math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(terms))])
 
     matched = matched_rows(single, terms, "doc_id", "toxic", "key").orderBy("doc_id", "toxic").collect()
@@ -261,7 +276,9 @@ def toxicity(
     if fitted is None:
         judged = rows.select("doc_id", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
     else:
-        judged = fitted[1].mapInArrow(_scored(fitted[0]), "doc_id long, score double, evidence array<long>")
+        # What is stored of a text is small, judging it is not: the rows are dealt to all tasks.
+        dealt = fitted[1].repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        judged = dealt.mapInArrow(_scored(fitted[0]), "doc_id long, score double, evidence array<long>")
     return judged.select(
         "doc_id", in_share(F.col("doc_id"), *held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence"
     )
