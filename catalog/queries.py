@@ -290,7 +290,7 @@ def _part_rules(spark, sf_dir, start: int) -> DataFrame:
 doc_terms AS (SELECT r, theme, subtheme, term, points FROM {sql_rows(_DOC_TERMS)} t(r, term, points) JOIN {sql_rows((i, r[0], r[1]) for i, r in enumerate(DOCUMENT_RULES))} v(r, theme, subtheme) USING (r)
   UNION ALL SELECT * FROM part_terms),
 low AS (SELECT doc_id, trim(regexp_replace(lower(text), '{WS_SQL}+', ' ', 'g')) AS t FROM documents),
-split AS (SELECT doc_id, t, list_distinct(string_split_regex(t, '[^\p{{L}}\p{{N}}_]+')) AS w FROM low),
+split AS (SELECT doc_id, t, list_distinct(string_split_regex(t, '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM low),
 hits AS (SELECT doc_id, r, theme, subtheme, points FROM split JOIN doc_terms ON (contains(term, ' ') OR contains(term, '-')) AND contains(t, term)
   UNION ALL SELECT doc_id, r, theme, subtheme, points FROM (SELECT doc_id, unnest(w) AS term FROM split) s JOIN doc_terms USING (term) WHERE NOT contains(term, ' ') AND NOT contains(term, '-')),
 scores AS (SELECT doc_id, r, theme, subtheme, sum(points) AS score FROM hits GROUP BY ALL)""",
