@@ -19,6 +19,7 @@ from feedloom.operators.conform import conform, number_rows
 from feedloom.operators.filters import apply_filters, date_bounds, filter_options
 from feedloom.operators.grouping import attach, null_safe
 from feedloom.operators.rule_tables import match_rule_table
+from feedloom.operators.sentiment import add_sentiment_columns
 from feedloom.operators.signals import STAGES, enrich
 from feedloom.operators.themes import add_theme_signals, match_rules
 from feedloom.plans.incremental import CubeTables
@@ -212,6 +213,13 @@ def _(spark, sf_dir):
 
 # ---- enrichment ---------------------------------------------------------------------------------------------------
 
+@query("sentiment_in_plan", ANALYZED_CTES, "SELECT review_id, sentiment, sentiment_score, negativity_score, sentiment_method FROM analyzed",
+       "sentiment_score|negativity_score")
+def _(spark, sf_dir):
+    rows = add_sentiment_columns(feedback(spark, sf_dir), in_plan=True)
+    return rows.select("review_id", "sentiment", "sentiment_score", "negativity_score", "sentiment_method")
+
+
 @query("sentiment_hybrid", ANALYZED_CTES, "SELECT review_id, sentiment, sentiment_score, negativity_score, sentiment_method FROM analyzed",
        "sentiment_score|negativity_score")
 def _(spark, sf_dir):

@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 from feedloom.vocab.requests import REWRITES
 
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same characters but the space itself, as a string.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WORD = r"\p{L}\p{N}_"
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.search import _finder, _regex_finder
 from feedloom.operators.requests import add_feature_request_columns
-from feedloom.operators.sentiment import add_sentiment_columns, score_text
+from feedloom.operators.sentiment import add_polarity_signal, add_sentiment_columns, polarity, polarity_in_plan, score_text
 from feedloom.operators.signals import enrich
 from feedloom.operators.rule_tables import match_rule_table, rule_terms, term_matches
 from feedloom.operators.themes import add_classification_columns, add_theme_signals, match_rules
 from feedloom.vocab import Lexicon, RequestRules, ThemeRules
+from feedloom.vocab import lexicon as shifts
 
 # Own sentences, one per branch.
 SENTIMENTS = [
@@ -57,13 +58,47 @@ def test_sentiment(spark):
     assert rows[6]["sentiment_method"] == "safe_neutral" and rows[12]["sentiment_method"] == "vader"
 
 
-def test_polarity_modifiers():
-    words = Lexicon.default().valences
-    assert score_text("good", words) == round(1.9 / (1.9**2 + 15) ** 0.5, 4)
-    assert score_text("not good", words) < 0 < score_text("good", words) < score_text("very good", words)
-    assert score_text("it is GOOD", words) > score_text("it is good", words)
-    assert score_text("good!!!", words) > score_text("good", words)
-    assert score_text("good but bad", words) < 0 and score_text("table", words) == 0.0
+def polarities(spark, texts, lexicon=None):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(
+        "i", polarity(F.col("text"), lexicon).alias("workers"), polarity_in_plan(F.col("text"), lexicon).alias("plan")).collect()
+    assert [r for r in rows if r["workers"] is None or r["plan"] is None] == [r for r in rows if r["workers"] is None and r["plan"] is None]
+    return [r["plan"] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def test_polarity_modifiers(spark):
+    texts = ["good", "not good", "very good", "it is GOOD", "it is good", "good!!!", "good but bad", "table", "", None, "!!! ??", "(good), not... \u2003bad??"]
+    good, negated, strong, loud, calm, stressed, turned, *rest = polarities(spark, texts)
+    assert good == round(1.9 / (1.9**2 + 15) ** 0.5, 4)
+    assert negated < 0 < good < strong and loud > calm and stressed > good and turned < 0
+    assert rest[:4] == [0.0, 0.0, None, 0.0] and rest[4] == score_text(texts[-1], Lexicon.default().valences)
+
+
+def test_polarity_equals_plain_reader(spark):
+    dealer = random.Random(5)
+    words = [*list(Lexicon.default().valences)[:30], *shifts.INTENSIFIERS, *shifts.DAMPENERS, *shifts.NEGATIONS, "but", "but", "the", "I", "--", "Straße", "ÉTÉ", "плохо", "so-so"]
+    ends = ["", "", "", "!", "!!", "?", "??", "...", "\"", ")", "'"]
+
+    def text():
+        picked = [dealer.choice(words) for _ in range(dealer.randrange(0, 14))]
+        picked = [w.upper() if dealer.random() < 0.2 else w.capitalize() if dealer.random() < 0.2 else w for w in picked]
+        return dealer.choice([" ", "  ", "\t", "\u00a0"]).join(dealer.choice(["", "", "(", "'"]) + w + dealer.choice(ends) for w in picked)
+
+    texts = [text() for _ in range(3000)] + ["very " * 5000 + "good", "!" * 20_000, "good " * 3000]
+    # A lexicon that knows strengthening and turning words, words of value zero and words of other scripts.
+    rows = [("very", 1.5), ("not", -0.5), ("table", 0.0), ("плохо", -2.0), ("été", 1.0), *[(f"w{i}", (i % 9) - 4.0) for i in range(9000)], *Lexicon.default().valences.items(), ("good", -3.0)]
+    large = Lexicon.from_dataframe(spark.createDataFrame(rows, "token string, valence double"))
+    assert large.valences["good"] == 1.9
+    for lexicon in (Lexicon.default(), large, Lexicon({})):
+        found = polarities(spark, texts, lexicon)
+        assert [t for t, p in zip(texts, found, strict=True) if abs(p - score_text(t, lexicon.valences)) > 1.01e-4] == []
+        assert sum(p != score_text(t, lexicon.valences) for t, p in zip(texts, found, strict=True)) <= 2
+
+
+def test_polarity_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([("a good ride", 4.0)], "clean_text string, rating double")
+    for frame in (add_polarity_signal(df, in_plan=True), add_sentiment_columns(df, in_plan=True)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Exchange" not in plan and "from_json" not in plan
 
 
 def test_requests(spark):

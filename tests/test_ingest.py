@@ -1,5 +1,6 @@
 """Sources, schema mapping, cleaning, validation."""
 
+import hashlib
 import re
 import unicodedata
 
@@ -146,6 +147,24 @@ def test_csv_headers_are_aligned_by_name(spark, tmp_path):
         read_feedback_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.csv")])
 
 
+def test_fingerprints_of_large_files(spark, tmp_path):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    contents = {"a.bin": b"x" * 5000, "b b.bin": bytes(range(256)) * 70_000, "ü%20.bin": b"\0" * 9_000_000, "empty.bin": b"", "edge.bin": b"y" * 4096, "skipped.txt": b"z"}
+    for name, content in contents.items():
+        (folder / name).write_bytes(content)
+    expected = {hashlib.sha256(n.encode() + b"\0" + c).hexdigest() for n, c in contents.items() if c and n.endswith(".bin")}
+    limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    try:
+        for beyond, most in ((4096, 4096), (0, 0), (64 << 20, int(limit))):
+            # The content of a file beyond this length would raise an error.
+            spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(most))
+            rows = file_fingerprints(spark, str(folder), "*.bin", whole_up_to=beyond).collect()
+            assert len(rows) == 4 and {r["fingerprint"] for r in rows} == expected
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
+
+
 def test_manifest_and_sinks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
