@@ -8,6 +8,9 @@ digits, letters of the same script and case for letters, names with the ending o
 equal surrogates, or a surrogate that is itself an entity of the corpus, are found by grouping and tried again with the next
 round number until all are distinct.
 
+Names are replaced word by word, so a family name has one surrogate with and without a given name. A family name found behind
+a form of address is also replaced where it stands alone in the same text.
+
 Only texts with an entity are shuffled, by a hash of the text; copies of a text share one list of replacements.
 """
 
@@ -27,6 +30,8 @@ INTERNATIONAL = (
     rf"|\+[0-9](?:[0-9]|[ .-][0-9](?=[0-9])|(?<=\+[0-9]{{1,3}})[ .-][0-9]|{_BRACKETS}){{4,14}}(?!\p{{N}})(?<!\([0-9]{{1,5}})"
     r"|\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)[ .-]?(?:[0-9]{3}[ .-]?[0-9]{3,4}|[0-9]{5,8})(?!\p{N})|"
 )
+#: Initials between a form of address and a name; they stay.
+INITIALS = r"(?:\p{Lu}\. ?(?:\p{Lu}\. ?(?:\p{Lu}\. ?)?)?)?"
 #: Types in order of precedence, with the pattern of a whole entity. Cheap tests stand before costly ones: a pattern is
 #: tried at every position of a text.
 PATTERNS = {
@@ -38,15 +43,17 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": INTERNATIONAL + r"(?<![\p{L}\p{N}])\([0-9]{2,5}\) ?[0-9]{3}[ .-][0-9]{4}(?!\p{N})|(?<![\p{L}\p{N}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{N}-])",
-    "female": r"(?=\p{Lu})(?<= )(?<=(?:Mrs|Ms)\.? |Miss |Frau |Mme |Madame |Señora |Sra\. |г-жа |госпожа )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
-    "male": r"(?=\p{Lu})(?<= )(?<=Mr\.? |Herr |Herrn |Monsieur |Señor |Sr\. |г-н |господин )\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "female": rf"(?=\p{{Lu}})(?<=[ .])(?<=(?:(?:Mrs|Ms)\.?|Miss|Frau|Mme|Madame|Señora|Sra\.|г-жа|госпожа) {INITIALS})\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "male": rf"(?=\p{{Lu}})(?<=[ .])(?<=(?:Mr\.?|Herrn?|Monsieur|Señor|Sr\.|г-н|господин) {INITIALS})\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these in it or, a form of address, before it: a cheap test ahead of the patterns.
 HINT = r"[@\p{N}=:]|A[KS]IA|gh[pousr]_|sk-|[a-fA-F]{32}|Mr|Ms|Miss|Frau|Herr|Mme|Madame|Monsieur|Señor|Sra?\. |г-|госпо"
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
-_VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
-_CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрстф"}
+_VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
+_CONSONANTS = {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрстф", "greek": "βγδζκλμνπρστφχ"}
+#: Types whose values are words of names.
+NAMES = ("female", "male")
 #: Written with or without separators.
 NUMBERS = ("phone", "card", "ssn", "iban")
 MAX_ROUNDS = 64
@@ -56,8 +63,8 @@ def kind_of(value: Column, before: Column | None = None) -> Column:
     """Type of a matched entity. The forms of address stand before a name, so its gender is told from ``before``."""
     kind = F.lit("assigned")
     if before is not None:
-        female = before.rlike(r"(?:Mrs\.?|Ms\.?|Miss|Frau|Mme|Madame|Señora|Sra\.|г-жа|госпожа) $")
-        male = before.rlike(r"(?:Mr\.?|Herrn?|Monsieur|Señor|Sr\.|г-н|господин) $")
+        female = before.rlike(r"(?:Mrs\.?|Ms\.?|Miss|Frau|Mme|Madame|Señora|Sra\.|г-жа|госпожа) " + INITIALS + "$")
+        male = before.rlike(r"(?:Mr\.?|Herrn?|Monsieur|Señor|Sr\.|г-н|господин) " + INITIALS + "$")
         kind = F.when(female, "female").when(male, "male").otherwise(kind)
     for name in ("phone", "ssn", "card", "iban", "ip", "secret", "email"):
         kind = F.when(value.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
@@ -83,8 +90,8 @@ def surrogate(kind: Column, value: Column, round_: Column, key: str) -> Column:
     """Replacement of a canonical form, character by character: digits for digits, letters of the same script for letters.
 
     Kept: all punctuation, the country of an account, hex letters in hex strings. Octets of network
-    addresses stay below 256; mail domains end in the reserved ``.example``. Names become syllables of the same script with
-    the usual ending of the gender, longer with later rounds.
+    addresses stay below 256; mail domains end in the reserved ``.example``. A word of a name becomes syllables of the same
+    script with the usual ending of the gender, longer with later rounds.
     """
     def character(c: Column, i: Column) -> Column:
         n = _number(key, kind, value, round_, i)
@@ -102,15 +109,13 @@ def surrogate(kind: Column, value: Column, round_: Column, key: str) -> Column:
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda o, i: (_number(key, kind, value, round_, i) % 256).cast("string")), ".")
 
     def name(script: str, female: str, male: str) -> Column:
-        part = F.lit("")
         vowels, consonants = _VOWELS[script], _CONSONANTS[script]
         syllables = F.transform(F.sequence(F.lit(0), F.lit(1) + round_), lambda i: F.concat(_pick(consonants, _number(key, value, round_, i, F.lit("c"))), _pick(vowels, _number(key, value, round_, i, F.lit("v")))))
-        part = F.concat(F.array_join(syllables, ""), _pick(consonants, _number(key, value, round_, F.lit("end"))), F.when(kind == "female", female).otherwise(male))
-        family = F.concat(_pick(consonants, _number(key, value, round_, F.lit("f"))), _pick(vowels, _number(key, value, round_, F.lit("g"))), F.array_join(F.reverse(syllables), ""), F.lit("n" if script == "latin" else "н"))
-        return F.when(F.instr(value, " ") > 0, F.concat(part, F.lit(" "), family)).otherwise(part)
+        return F.concat(F.array_join(syllables, ""), _pick(consonants, _number(key, value, round_, F.lit("end"))), F.when(kind == "female", female).otherwise(male))
 
-    names = F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic", "а", "ор")).otherwise(name("latin", "a", "o"))
-    return F.when(kind.isin("female", "male"), names).when(kind == "email", mail).when(kind == "ip", octets).otherwise(spelled)
+    cyrillic, greek = name("cyrillic", "а", "ор"), name("greek", "α", "ος")
+    names = F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).when(value.rlike(r"\p{IsGreek}"), greek).otherwise(name("latin", "a", "o"))
+    return F.when(kind.isin(*NAMES), names).when(kind == "email", mail).when(kind == "ip", octets).otherwise(spelled)
 
 
 def _cased(new: Column, like: Column) -> Column:
@@ -156,26 +161,47 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     return done if done is not None else known.withColumn("surrogate", F.lit(""))
 
 
-def mentions(text: Column) -> Column:
-    """Array of (kind, value, mention) in order of the text."""
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    between = F.split(text, ENTITY, -1)
-    pairs = F.zip_with(between, found, lambda b, m: F.struct(b.alias("before"), m.alias("mention")))
+def _read(text: Column, pattern: Column, alone: Column | None = None) -> Column:
+    """Array of (kind, value, mention) of the matches of a pattern; ``alone`` is a map from lone family names to their kind."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda b, m: F.struct(b.alias("before"), m.alias("mention")))
 
     def read(p: Column) -> Column:
         kind = kind_of(p["mention"], p["before"])
+        if alone is not None:
+            kind = F.when(kind == "assigned", F.coalesce(F.try_element_at(alone, p["mention"]), kind)).otherwise(kind)
         return F.struct(kind.alias("kind"), canonical(p["mention"], kind).alias("value"), p["mention"].alias("mention"))
 
     return F.transform(F.filter(pairs, lambda p: p["mention"].isNotNull()), read)
 
 
+def mentions(text: Column) -> Column:
+    """Array of (kind, value, mention) of all entities but lone family names, in order of the text."""
+    return _read(text, F.lit(ENTITY))
+
+
+def family_names(found: Column) -> Column:
+    """Map from the last words of the names among the mentions, as spelled, to the kind of the first one."""
+    names = F.filter(found, lambda m: m["kind"].isin(*NAMES))
+    last = F.transform(names, lambda m: F.struct(F.element_at(F.split(m["mention"], " "), -1).alias("word"), m["kind"].alias("kind")))
+    words = F.array_distinct(F.transform(last, lambda n: n["word"]))
+    return F.map_from_arrays(words, F.transform(words, lambda w: F.element_at(F.filter(last, lambda n: n["word"] == w), 1)["kind"]))
+
+
+def pattern_of(families: Column) -> Column:
+    """The entity pattern of a text with the family names that it may repeat without a form of address."""
+    # Names are letters, apostrophes and hyphens: nothing that a pattern would read otherwise.
+    words = F.array_join(F.map_keys(families), "|")
+    return F.when(F.size(families) > 0, F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(ENTITY))
+
+
 def replace_entities(documents: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     """The rows with their columns, entities in the text replaced, and one column more: ``entities`` (a fresh name if taken).
 
     It lists kind and surrogate as spelled for each mention, in order. Null stays null; texts without an entity are returned
     as they are. Repeated rows and null ids are rows like any other. An empty table gives no rows.
     """
-    own = {n: fresh(documents.columns, n) for n in ("entities", "text_key", "given")}
+    own = {n: fresh(documents.columns, n) for n in ("entities", "text_key", "given", "families")}
     text = F.col(f"`{text_column}`")
     kept = [F.col(f"`{c}`") for c in documents.columns]
     hit = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
@@ -183,13 +209,22 @@ def replace_entities(documents: DataFrame, key: str, text_column: str = "text")
     plain = documents.where(~hit).select(*kept, F.array().cast(listed).alias(own["entities"]))
 
     hits = documents.where(hit).withColumn(own["text_key"], F.sha2(text.cast("binary"), 256))
-    found = store(hits.select(F.col(own["text_key"]).alias("text_key"), mentions(text).alias("found")).groupBy("text_key").agg(F.any_value("found").alias("found")), "mentions")
-    each = found.select("text_key", F.posexplode("found").alias("place", "m")).select("text_key", "place", "m.kind", "m.value", "m.mention")
-    given = each.join(assign(each, key), ["kind", "value"]).select("text_key", "place", "kind", spell(F.col("surrogate"), F.col("kind"), F.col("mention")).alias("surrogate"))
+    read = hits.select(F.col(own["text_key"]).alias("text_key"), text.alias("text"), mentions(text).alias("found")).withColumn("families", family_names(F.col("found")))
+    whole = F.when(F.size("families") > 0, _read(F.col("text"), pattern_of(F.col("families")), F.col("families"))).otherwise(F.col("found"))
+    found = store(read.select("text_key", "families", whole.alias("found")).groupBy("text_key").agg(F.any_value("found").alias("found"), F.any_value("families").alias("families")), "mentions")
+    each = found.select("text_key", F.posexplode("found").alias("place", "m")).select("text_key", "place", "m.*")
+    # A name is given away word by word, anything else as a whole.
+    def words(c: str) -> Column:
+        return F.when(F.col("kind").isin(*NAMES), F.split(F.col(c), " ")).otherwise(F.array(c))
+
+    each = each.select("text_key", "place", "kind", F.posexplode(F.arrays_zip(words("value").alias("value"), words("mention").alias("mention"))).alias("part", "w")).select("text_key", "place", "kind", "part", "w.*")
+    parts = each.join(assign(each, key), ["kind", "value"]).select("text_key", "place", "kind", "part", spell(F.col("surrogate"), F.col("kind"), F.col("mention")).alias("surrogate"))
+    given = parts.groupBy("text_key", "place", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda p: p["surrogate"]), " ").alias("surrogate"))
     lists = given.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "surrogate"))).alias("given"))
-    lists = lists.select(F.col("text_key").alias(own["text_key"]), F.transform("given", lambda g: F.struct(g["kind"], g["surrogate"])).cast(listed).alias(own["given"]))
+    lists = lists.join(found.select("text_key", "families"), "text_key")
+    lists = lists.select(F.col("text_key").alias(own["text_key"]), F.transform("given", lambda g: F.struct(g["kind"], g["surrogate"])).cast(listed).alias(own["given"]), F.col("families").alias(own["families"]))
 
-    put = F.array_join(F.zip_with(F.split(text, ENTITY, -1), own["given"], lambda b, g: F.concat(b, F.coalesce(g["surrogate"], F.lit("")))), "")
+    put = F.array_join(F.zip_with(F.split(text, pattern_of(F.col(own["families"])), -1), own["given"], lambda b, g: F.concat(b, F.coalesce(g["surrogate"], F.lit("")))), "")
     replaced = hits.join(lists, own["text_key"]).select(
         *[put.alias(c) if c == text_column else F.col(f"`{c}`") for c in documents.columns], F.col(own["given"]).alias(own["entities"])
     )

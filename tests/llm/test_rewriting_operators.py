@@ -197,6 +197,26 @@ def test_phone_numbers_of_any_grouping_are_whole(spark, after):
         assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", PHONES[r.doc_id])
 
 
+PEOPLE = {
+    "Mrs Anna Smith came. Smith left, not Smithson.": r"Mrs (\w+a) (\w+a) came\. \2 left, not Smithson\.",
+    "Mrs Smith and Mrs Anna Smith and MRS": r"Mrs (\w+a) and Mrs \w+a \1 and MRS",
+    "Mr J. Smith and Mr. J.R. Smith": r"Mr J\. (\w+o) and Mr\. J\.R\. \1",
+    "Mrs Μαρία is here": r"Mrs [Α-Ω][α-ω]+α is here", "г-н Иван Петров. Петров ушёл.": r"г-н [А-Я][а-я]+ор ([А-Я][а-я]+ор)\. \1 ушёл\.",
+    "Herr O'Neil-Maier: O'Neil-Maier": r"Herr (\w+o): \1", "Smith alone, smith": r"Smith alone, smith", "Frau Will will": r"Frau \w+a will",
+}
+
+
+def test_names_keep_reference_gender_and_script(spark):
+    """A family name is one surrogate with a given name, with initials, and alone in its text; other words stay."""
+    frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(PEOPLE)], "doc_id long, text string, families int")
+    got = {r.doc_id: r for r in replace_entities(frame, key="k").collect()}
+    for i, (text, pattern) in enumerate(PEOPLE.items()):
+        assert re.fullmatch(pattern, got[i].text), (text, got[i].text)
+    first = re.fullmatch(PEOPLE[list(PEOPLE)[0]], got[0].text).group(2)
+    assert first == re.fullmatch(PEOPLE[list(PEOPLE)[1]], got[1].text).group(1), "one person in two texts"
+    assert [e.kind for e in got[0].entities] == ["female", "female"] and [e.kind for e in got[6].entities] == []
+
+
 def test_secrets_of_any_length(spark):
     long = "aB3_" * 75
     secrets = {f'token = "{long}"': long, f"key sk-{long} end": f"sk-{long}", f"hash {'0a1b' * 64} end": "0a1b" * 64, '{"password": "hunter22"}': "hunter22", "{'api_key':'hunter22'}": "hunter22"}
