@@ -13,6 +13,7 @@ from catalog.queries import (
     IDS_SQL,
     NOT_PAIN,
     NUMBERED_CTES,
+    QUOTES_SQL,
     RANK_SQL,
     STAMP,
     SUMMARY_COLUMNS,
@@ -22,7 +23,8 @@ from catalog.queries import (
 )
 from catalog.registry import ORACLE, query
 from feedloom.operators import evidence
-from feedloom.operators.grounding import json_leaves
+from feedloom.operators.grounding import json_leaves, validate_reports
+from feedloom.operators.quotes import quotes_by_theme, representative_quotes
 from feedloom.operators.releases import WATCHED
 from feedloom.operators.segments import DIMENSIONS
 from feedloom.plans import analyze_feedback, prepare_insight
@@ -172,3 +174,26 @@ feedback AS (SELECT * FROM ({ORACLE['cleaned_table']}))""" + SUMMARY_CTES.remove
 def _(spark, sf_dir):
     """From the raw source to the theme summary: ingest, enrichment and aggregates in one plan."""
     return analyze_feedback(ingest(raw_feedback(spark, sf_dir), order_by="pos").dataframe).themes.select(*SUMMARY_COLUMNS)
+
+
+@query("quote_findings", ANALYZED_CTES + f""", cited AS ({QUOTES_SQL})""", """SELECT primary_theme AS report_id, 'error' AS severity, 'evidence[' || (rank - 1) || ']' AS path,
+  CASE rank WHEN 3 THEN 'Quote of ' || review_id || ' differs from its source text.' ELSE 'Quote of EV-none has no source text to compare with.' END AS message FROM cited WHERE rank IN (3, 4)
+  UNION ALL SELECT primary_theme, 'error', NULL, 'The report cites reviews that the evidence does not hold.' FROM cited WHERE rank = 4
+  UNION ALL SELECT DISTINCT primary_theme, 'error', NULL, 'No limitation is named in the confidence assessment.' FROM cited""")
+def _(spark, sf_dir):
+    """A report per theme cites all its quotes, the third altered and the fourth by an unknown id: findings on quotes and ids.
+
+    Findings on numbers and on wording have queries of their own.
+    """
+    lists = materialize(quotes_by_theme(representative_quotes(stored(spark, sf_dir))))
+    shown = F.transform("quotes", lambda q: F.struct(q["review_id"].alias("review_id"), q["original_text"].alias("review_text")))
+    said = F.transform("quotes", lambda q, i: F.struct(
+        F.when(i == 3, "EV-none").otherwise(q["review_id"]).alias("review_id"),
+        F.when(i == 2, F.concat(q["original_text"], F.lit("!"))).otherwise(q["original_text"]).alias("quote"),
+    ))
+    evidence_of, report = (
+        lists.select(F.col("primary_theme").alias("report_id"), F.to_json(F.struct(column.alias(name))).alias("document"))
+        for column, name in ((shown, "representative_quotes"), (said, "evidence"))
+    )
+    found = validate_reports(report, evidence_of)
+    return found.filter(F.col("message").rlike("^(Quote of|The report cites|No limitation)")).select("report_id", "severity", "path", "message")
