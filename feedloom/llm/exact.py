@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.bloom import maybe_in, might_be
+from feedloom.functions.bloom import maybe_in, might_be
 from feedloom.llm.common import fresh, picked, pieces, store, text_buffer
 
 FINGERPRINT_BITS, RUN = 48, 1 << 14

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.bloom import maybe_in, might_be
+from feedloom.functions.bloom import maybe_in, might_be
 from feedloom.llm.common import fresh, picked, pieces, store, text_buffer
 from feedloom.llm.components import components
 from feedloom.llm.hashing import lower_ascii, mix, windows, words

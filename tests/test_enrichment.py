@@ -10,7 +10,7 @@ from feedloom.functions.search import _finder, _regex_finder
 from feedloom.operators.requests import add_feature_request_columns
 from feedloom.operators.sentiment import add_polarity_signal, add_sentiment_columns, polarity, polarity_in_plan, score_text
 from feedloom.operators.signals import enrich
-from feedloom.operators.rule_tables import match_rule_table, rule_terms, term_matches
+from feedloom.operators.rule_tables import _beside, _entries, _entry, match_rule_table, rule_terms, term_matches
 from feedloom.operators.themes import add_classification_columns, add_theme_signals, match_rules
 from feedloom.vocab import Lexicon, RequestRules, ThemeRules
 from feedloom.vocab import lexicon as shifts
@@ -182,3 +182,17 @@ def test_terms_that_occur_are_found_whatever_their_runs(spark):
         text = " ".join(text.split())
         return term in text if re.search("[ -]", term) else term in re.split("[^ab]+", text)
     assert found == {(i, t) for i, text in enumerate(texts) for t in terms if occurs(t, text)}
+
+
+def test_rule_table_probes_follow_the_texts(spark):
+    """Many terms that share all their runs of characters with the numbers of a text give no candidates, and none is lost."""
+    n = 300
+    rules = spark.range(n).selectExpr("cast(id AS int) AS rule_idx", "'Part' AS theme", "cast(id AS string) AS subtheme", "array(concat('lot 1', id, '1 of two')) AS phrases", "array(concat('p1', id, '111')) AS keywords")
+    texts = spark.createDataFrame([(i, f"(ticket 1111{i}1111 of p1) lot 1 of {'p17111' if i == 7 else 'none'}") for i in range(40)] + [(99, "the lot 151 of two")], "i long, clean_text string")
+    terms = rule_terms(rules)
+    found = term_matches(texts, terms, "i")
+    assert sorted((r["i"], r["needle"]) for r in found.collect()) == [(7, "p17111"), (99, "lot 151 of two")]
+    # Candidates are no more than the texts, however many terms there are.
+    entries = _entries(terms.where("by_phrase = 1").select("needle").distinct())
+    kept = _beside(texts, "clean_text", "i").select("i", _entry((3, 3)).alias("_print")).join(entries, "_print")
+    assert kept.count() <= 41
