@@ -2,11 +2,13 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions.search import _finder, _regex_finder
+from feedloom.functions.text import WORD, WS, collapse_ws, nfkc, request_text
 from feedloom.operators.requests import add_feature_request_columns
 from feedloom.operators.sentiment import add_polarity_signal, add_sentiment_columns, polarity, polarity_in_plan, score_text
 from feedloom.operators.signals import enrich
@@ -14,6 +16,7 @@ from feedloom.operators.rule_tables import _beside, _entries, _entry, match_rule
 from feedloom.operators.themes import add_classification_columns, add_theme_signals, match_rules
 from feedloom.vocab import Lexicon, RequestRules, ThemeRules
 from feedloom.vocab import lexicon as shifts
+from feedloom.vocab.requests import REWRITES
 
 # Own sentences, one per branch.
 SENTIMENTS = [
@@ -196,3 +199,25 @@ def test_rule_table_probes_follow_the_texts(spark):
     entries = _entries(terms.where("by_phrase = 1").select("needle").distinct())
     kept = _beside(texts, "clean_text", "i").select("i", _entry((3, 3)).alias("_print")).join(entries, "_print")
     assert kept.count() <= 41
+
+
+def test_signals_share_one_python_worker(feedback):
+    """All searches and the polarity are one evaluation, the normal form of the view another: a task holds two workers."""
+    plan = enrich(feedback, normalise=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 2
+
+
+def test_looks_ahead_of_patterns_change_no_text(spark):
+    """Against the patterns without a look, over words that are rewritten, blanks of all kinds, dashes and wide letters."""
+    rng = random.Random(11)
+    words = ["autopay", "auto–pay", "auto-pay", "auto pay", "AUTO PAY", "xdarkmode", "darkmode", "faceid's", "pls", "plsx", "multicurrency", "é", "ﬁne", "’", "—", "?!", "_", "9", "İ", "a"]
+    blanks = [" ", "  ", "\t", " ", "　", "\x1f", "\n", "-", ""]
+    texts = ["".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = F.translate(F.lower("t"), "’–—", "'--")
+    for wrong, right in REWRITES:
+        plain = F.regexp_replace(plain, f"(?<![{WORD}])(?:{wrong.replace(chr(92) + 's', WS)})(?![{WORD}])", right)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, f"[^{WORD}{WS}]", " "), f"[{WS}]+", " "))
+    changed = df.where(~request_text(F.col("t"), False).eqNullSafe(plain) | ~collapse_ws(F.col("t")).eqNullSafe(F.trim(F.regexp_replace("t", f"[{WS}]+", " "))))
+    assert changed.count() == 0
+    assert [r[0] for r in df.select(nfkc(F.col("t"))).collect()] == [*(unicodedata.normalize("NFKC", t) for t in texts), None]
