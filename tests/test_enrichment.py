@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.search import _finder, _regex_finder
 from feedloom.functions.text import WORD, WS, collapse_ws, nfkc, request_text
+from feedloom.operators.grouping import computed_once
 from feedloom.operators.requests import add_feature_request_columns
 from feedloom.operators.sentiment import add_polarity_signal, add_sentiment_columns, polarity, polarity_in_plan, score_text
 from feedloom.operators.signals import enrich
@@ -221,3 +222,12 @@ def test_looks_ahead_of_patterns_change_no_text(spark):
     changed = df.where(~request_text(F.col("t"), False).eqNullSafe(plain) | ~collapse_ws(F.col("t")).eqNullSafe(F.trim(F.regexp_replace("t", f"[{WS}]+", " "))))
     assert changed.count() == 0
     assert [r[0] for r in df.select(nfkc(F.col("t"))).collect()] == [*(unicodedata.normalize("NFKC", t) for t in texts), None]
+
+
+def test_outputs_are_projected_before_they_are_spread(spark):
+    """A generator would interpret what it holds, so it only holds the finished struct."""
+    df = spark.range(3).select("id", (F.col("id") * 2).alias("twice"))
+    out = computed_once(df, ["id"], [F.when(F.col("twice") > 2, F.col("twice")).alias("a"), (F.col("twice") + 1).alias("b")])
+    generators = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in line]
+    assert len(generators) == 1 and "CASE" not in generators[0]
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(0, None, 1), (1, None, 3), (2, 4, 5)]
