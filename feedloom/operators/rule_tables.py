@@ -22,9 +22,16 @@ from feedloom.session import materialize
 
 #: Characters of the word before and after a separator that an entry may hold: of each word the most that it has.
 ENDS = (8, 3, 1, 0)
+#: Rows of a table that is small enough for Spark to send it to all tasks: nothing is shuffled then, and a filter only costs.
+SMALL = 100_000
 _PRINT = "_print"
 
 
+def _ahead_of_join(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that may have a partner; all of them if the join with so few does not shuffle."""
+    return df if wanted.limit(SMALL + 1).count() <= SMALL else maybe_in(df, _PRINT, wanted)
+
+
 def _beside(df: DataFrame, column: str, key: str) -> DataFrame:
     """key, before, after: the words before and after every space and hyphen of a text, each with the separator behind it."""
     pieces = computed_once(df, [key], [F.split(column, "(?<=[ -])", -1).alias("_pieces")])
@@ -61,7 +68,7 @@ def rule_terms(rules: DataFrame) -> DataFrame:
 def _words_found(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """key, needle for the terms that are words of a text."""
     spoken = texts.select(key, F.explode(F.array_distinct(F.split("_text", f"[^{WORD}]+"))).alias("needle")).withColumn(_PRINT, F.xxhash64("needle"))
-    return maybe_in(spoken, _PRINT, words.select(F.xxhash64("needle").alias(_PRINT))).drop(_PRINT).join(words, "needle", "left_semi").select(key, "needle")
+    return _ahead_of_join(spoken, words.select(F.xxhash64("needle").alias(_PRINT))).drop(_PRINT).join(words, "needle", "left_semi").select(key, "needle")
 
 
 def _entries(phrases: DataFrame) -> DataFrame:
@@ -83,7 +90,7 @@ def _phrases_found(texts: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     probed = pairs.select(key, F.explode(probes).alias(_PRINT)).where(F.col(_PRINT).isNotNull())
     entered = entries.select("needle", _PRINT)
     # Narrow rows meet first; the text is fetched for the candidates only.
-    candidates = maybe_in(probed, _PRINT, entered.select(_PRINT).distinct()).join(entered, _PRINT).select(key, "needle").distinct()
+    candidates = _ahead_of_join(probed, entered.select(_PRINT).distinct()).join(entered, _PRINT).select(key, "needle").distinct()
     return candidates.join(texts, key).where(F.col("_text").contains(F.col("needle"))).select(key, "needle")
 
 

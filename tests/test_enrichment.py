@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.search import _finder, _regex_finder
 from feedloom.functions.text import WORD, WS, collapse_ws, nfkc, request_text
+from feedloom.operators import rule_tables
 from feedloom.operators.grouping import computed_once
 from feedloom.operators.requests import add_feature_request_columns
 from feedloom.operators.sentiment import add_polarity_signal, add_sentiment_columns, polarity, polarity_in_plan, score_text
@@ -231,3 +232,16 @@ def test_outputs_are_projected_before_they_are_spread(spark):
     generators = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in line]
     assert len(generators) == 1 and "CASE" not in generators[0]
     assert [tuple(r) for r in out.orderBy("id").collect()] == [(0, None, 1), (1, None, 3), (2, 4, 5)]
+
+
+def test_small_rule_tables_are_met_without_python_workers(spark, monkeypatch):
+    """Few terms go to all tasks, so no filter goes ahead of the joins; with many, it gives the same matches."""
+    rules = spark.createDataFrame([(0, ["late order"], ["late"]), (1, ["x-y"], ["order"])], "rule_idx int, phrases array<string>, keywords array<string>")
+    texts = spark.createDataFrame([(0, "plate orders"), (1, "a late order"), (2, "x-yz order"), (3, "none")], "i long, clean_text string")
+    found = []
+    for bound in (100_000, 0):
+        monkeypatch.setattr(rule_tables, "SMALL", bound)
+        matches = term_matches(texts, rule_terms(rules), "i")
+        assert ("ArrowEvalPython" in matches._jdf.queryExecution().executedPlan().toString()) == (bound == 0)
+        found.append(sorted((r["i"], r["needle"]) for r in matches.collect()))
+    assert found[0] == found[1] == [(0, "late order"), (1, "late"), (1, "late order"), (1, "order"), (2, "order"), (2, "x-y")]
