@@ -278,6 +278,27 @@ def test_lists_are_ordered_limited_and_empty_where_nothing_is(spark):
     assert rows == {("g", "a", 2), ("g", "b", 1), ("g", "c", 1), (None, "z", 1)}
 
 
+@pytest.mark.parametrize("by", [[], ["country"]])
+def test_pain_records_name_every_platform_and_version(spark, by):
+    """Themes with more than a thousand platforms and versions, against plain Python; values come twice, with blanks around."""
+    themes = ("Payment and Checkout", "App Performance")
+    made = [(themes[i % 2], f" P{i * 7 % 2600} " if i % 3 else f"P{i * 7 % 2600}", f"{i % 5000}.0" if i % 11 else " ", f"C{i % 3}") for i in range(9000)]
+    rows = series(spark, 9000, theme=lambda i: made[i][0]).join(spark.createDataFrame(
+        [(f"R{i:03}", *m[1:], "text") for i, m in enumerate(made)], "review_id string, platform string, app_version string, country string, clean_text string"
+    ), "review_id")
+    expected = {}
+    for theme, platform, version, country in made:
+        platforms, versions = expected.setdefault((country if by else None, theme), (set(), set()))
+        platforms.add(platform.strip())
+        versions.update(filter(None, [version.strip()]))
+    assert by or min(len(values) for lists in expected.values() for values in lists) > 1000
+    got = evidence.pain_records(rows, metrics.summarize_themes(rows, by), by).collect()
+    assert len(got) == 3 * len(expected)
+    for r in got:
+        platforms, versions = expected[r["country"] if by else None, r["theme"]]
+        assert r["affected_platforms"] == sorted(platforms) and r["affected_versions"] == sorted(versions)
+
+
 @pytest.mark.parametrize("values", [[], [None], [9.0, 0.0], [3.0], [1.5, 2.5], [1.0, 1.0, 5.0], [1.0, 2.0, 2.0, 4.0], [None, 5.0, 4.25, 1.125, 4.25]])
 def test_median_of_value_counts(spark, values):
     row = segments.rating_summary(spark.createDataFrame([(v,) for v in values], "rating double").repartition(3)).first()
